@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import array
 import bisect
+import json
+import os
 import re
 import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,30 +39,93 @@ SALTS = 128
 #: Chunks of text whose ids a worker remembers, and the longest remembered.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 40
 _BLANK = re.compile("[ \t\r\n]+")
+#: What Python takes for white space and the tokenizer does not.
+_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+#: A word of Latin letters that lower-casing maps one to one, and marks behind it that are no apostrophe.
+_WORD_AND_MARKS = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*()"\-]*)""")
+
+
+class WordCodec:
+    """Ids of single lower-case words under a byte-level BPE whose words end in a marked symbol.
+
+    The tokenizer's merges are given to a faster encoder as ranks: the mark becomes a zero byte that joins its letter
+    before all other merges, so that many words can be encoded in one call and told apart by their last ids.
+    """
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        vocab, mark = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        byte = {c: b for b, c in shown.items()}
+        ranks = {bytes([b]): vocab[shown[b]] for b in range(256)}
+        ranks |= {bytes([b, 0]): vocab[shown[b] + mark] for b in range(1, 256)}
+        for merge in spec["model"]["merges"]:
+            token = "".join(merge.split(" ") if isinstance(merge, str) else merge)
+            ranks.setdefault(bytes(byte[c] for c in token.removesuffix(mark)) + b"\0" * token.endswith(mark), vocab[token])
+        self.ids = np.array(list(ranks.values()), np.uint32)
+        self.ends = np.array([len(b) > 1 and b.endswith(b"\0") for b in ranks])
+        self.encoder = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks={b: i for i, b in enumerate(ranks)}, special_tokens={})
+
+    @staticmethod
+    def suits(spec: dict) -> bool:
+        """Whether the tokenizer is one that this stands for: lower case, split at letters, ends marked."""
+        model, first = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+        return model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and r"[\p{L}]+" in str((first[0].get("pattern") or {}).get("Regex"))
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        at = np.array(self.encoder.encode_ordinary("\0".join(words) + "\0"), np.int64)
+        cuts, ids = ((np.flatnonzero(self.ends[at]) + 1) * 4).tolist(), self.ids[at].tobytes()
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 class ChunkTokenizer:
     """Ids of whole texts, by way of remembered ids of the chunks between blanks.
 
-    Right for tokenizers that split at white space and drop it, as the default one does.
+    Right for tokenizers that split at white space and drop it, as the default one does. New chunks that are one Latin
+    word, with or without marks behind it, go through ``WordCodec`` where it suits the tokenizer, others through the
+    tokenizer itself.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads here
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.known, self.marks = Tokenizer.from_file(path), {}, {"": b""}
+        self.codec = WordCodec(spec) if WordCodec.suits(spec) else None
+
+    def _plain(self, chunks: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _ids(self, chunks: list[str]) -> dict[str, bytes]:
+        simple = [(c, m) for c in chunks if (m := _WORD_AND_MARKS.fullmatch(c))] if self.codec else []
+        words = self.codec([m[1].lower() for _, m in simple]) if simple else []
+        marks = list({m[2] for _, m in simple if m[2] not in self.marks})
+        self.marks.update(zip(marks, self._plain(marks), strict=True))
+        out = {c: w + self.marks[m[2]] for (c, m), w in zip(simple, words, strict=True)}
+        other = [c for c in chunks if c not in out]
+        return out | dict(zip(other, self._plain(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers in the machine's order."""
-        split = [_BLANK.split(t) for t in texts]
+        split = [t.split() if not any(c in t for c in _SEPARATORS) else _BLANK.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.marks) > REMEMBERED:
+            self.marks = {"": b""}
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        here = {c: array.array("I", e.ids).tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known.update((c, ids) for c, ids in here.items() if len(c) <= REMEMBERED_CHARS)
-        long = {c: ids for c, ids in here.items() if len(c) > REMEMBERED_CHARS}
-        return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in split]
+        new = list(set(chain.from_iterable(split)).difference(known))
+        known |= self._ids(new)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for c in new:
+            if len(c) > REMEMBERED_CHARS:
+                del known[c]
+        return out
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -79,7 +145,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, se
         encode = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for start, part in slices(v.as_py() for v in batch.column(1)):
+            for start, part in slices((v.as_py() for v in batch.column(1)), 1 << 20):
                 row, piece, at, length, crc, ids = [], [], [], [], [], []
                 for i, own in enumerate(encode(part)):
                     own = (own if sys.byteorder == "little" else np.frombuffer(own, ">u4").astype("<u4").tobytes()) + end

@@ -68,3 +68,19 @@ def test_odd_tables(spark, empty):
     assert sorted(r.length for r in rows)[:3] == [1, 1, 1] and len({r.sequence_id for r in rows}) == 1
     ids = Tokenizer.from_file(packing.default_tokenizer()).encode("a <|endoftext|> b c d é", add_special_tokens=False).ids
     assert max(rows, key=lambda r: r.length).ids_crc32 == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=30), st.text("abcdefghimnorstuyABCDEéèüñßØÿ.,'!#-|$ \n", max_size=60), st.text("etaoinshrdlu", min_size=1, max_size=25))))
+def test_chunks_give_the_tokenizers_ids(texts):
+    encode = packing._TOKENIZERS.setdefault("test", packing.ChunkTokenizer(packing.default_tokenizer())) if "test" not in packing._TOKENIZERS else packing._TOKENIZERS["test"]
+    found = [np.frombuffer(x, np.uint32).tolist() for x in encode(texts)]
+    assert found == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_random_letters():
+    encode = packing.ChunkTokenizer(packing.default_tokenizer())
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéèäöüßñçà"), rng.integers(1, 20))) for _ in range(30_000)]
+    fast = encode.codec(words)
+    assert fast == encode._plain(words)
