@@ -37,7 +37,7 @@ SEQUENCE = 2048
 END_ID = 0
 SALTS = 128
 #: Chunks of text whose ids a worker remembers, and the longest remembered.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+REMEMBERED, REMEMBERED_CHARS = 150_000, 40
 _BLANK = re.compile("[ \t\r\n]+")
 #: What Python takes for white space and the tokenizer does not.
 _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, se
         encode = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for start, part in slices((v.as_py() for v in batch.column(1)), 1 << 20):
+            for start, part in slices((v.as_py() for v in batch.column(1)), 1 << 18):
                 row, piece, at, length, crc, ids = [], [], [], [], [], []
                 for i, own in enumerate(encode(part)):
                     own = (own if sys.byteorder == "little" else np.frombuffer(own, ">u4").astype("<u4").tobytes()) + end
