@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formweave.llm.shared import checkpointed
+from formweave.llm.shared import checkpointed, dropped
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of ``edges`` (columns a, b): label is the least node reachable.
 
-    Alternating large-star and small-star rounds, each checkpointed, until the edges no longer change. Minima are
+    Alternating large-star and small-star rounds, each written as a table, until the edges no longer change. Minima are
     aggregates with map-side combine and a hub's edges are met by a join that AQE may split, so no node's neighbours
     are gathered in one task.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(most_rounds):
-        now = checkpointed(_small_star(_large_star(now).distinct()).distinct())
+        before, now = now, checkpointed(_small_star(_large_star(now).distinct()).distinct())
+        dropped(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break

@@ -22,14 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.shared import WORD, checkpointed, text_or_empty
+from formweave.llm.shared import WORD, checkpointed, text_or_empty, with_small
 
 #: The weights that sources have in turn.
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its size.
 MOST_EPOCHS = 3
 FAN = 128
-BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -77,13 +76,8 @@ def _same(a: str, b: str) -> Column:
 
 
 def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """``rows`` with the columns of a checkpointed table that has one row per source.
-
-    It is broadcast up to ``BROADCAST_SOURCES`` rows; beyond, it is joined, and AQE splits a hot source.
-    """
-    named = per_source.withColumnRenamed("source", "of")
-    named = F.broadcast(named) if per_source.count() <= BROADCAST_SOURCES else named
-    return rows.join(named, _same("source", "of")).drop("of")
+    """``rows`` with the columns of a checkpointed table that has one row per source."""
+    return with_small(rows, per_source.withColumnRenamed("source", "of"), "source", "of", "inner").drop("of")
 
 
 def _ending(budget: DataFrame, sums: DataFrame, bin_name: str, left: str) -> DataFrame:
