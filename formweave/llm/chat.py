@@ -56,8 +56,9 @@ def paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
         if reach > most or not rounds[-1].limit(1).count():
             break
         above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        moved = step.join(above, ["tree", "up"], "left")
-        step = checkpointed(moved.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        moved = step.where("up is not null").join(above, ["tree", "up"])
+        moved = moved.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        step = checkpointed(step.where("up is null").unionByName(moved))
         reach *= 2
     rooted = step.where("up is null").select("tree", "node", "score", (F.col("steps") - 1).alias("depth"))
     inner = rounds[0].select("tree", F.col("up").alias("node")).distinct()
