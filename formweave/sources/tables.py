@@ -28,7 +28,7 @@ def is_safe_segment(name: Column) -> Column:
 
 def code_tables(spark: SparkSession, root: str) -> DataFrame:
     """``project, field, ord, code, libelle`` of all ``<root>/projects/<project>/reference_tables/<field>.csv``."""
-    lines = spark.read.option("wholetext", True).text(f"{root}/projects/*/reference_tables/*.csv").select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    lines = spark.read.text(f"{root}/projects/*/reference_tables/*.csv", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     line = F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: strip(x) != ""))
     rows = lines.select("path", line.alias("ord", "line"))
     cells = rows.withColumn("c", F.from_csv("line", "code string, libelle string", {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})).where("ord > 0")
@@ -43,10 +43,13 @@ def synonyms_from(spark: SparkSession, fields: dict[str, dict[str, list[str] | N
 
 
 def uploads(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
-    """Files with their parsed request (``requests`` has path and request); ``error`` says why a row is refused."""
+    """Files with their parsed request (``requests`` has path and request); ``error`` says why a row is refused.
+
+    Spark's reader leaves empty files out, so a request whose file is not read is refused as one for an empty file.
+    """
     files = spark.read.format("binaryFile").load(path)
-    rows = files.join(requests, "path", "left").withColumn("parsed", F.from_json("request", REQUEST))
-    error = F.when(F.col("length") == 0, "empty file").when(is_blank(F.col("request")), "no request").when(F.col("parsed").isNull() | F.col("parsed.fields").isNull(), "unreadable request")
+    rows = files.join(requests, "path", "full_outer").withColumn("parsed", F.from_json("request", REQUEST))
+    error = F.when(F.coalesce("length", F.lit(0)) == 0, "empty file").when(is_blank(F.col("request")), "no request").when(F.col("parsed").isNull() | F.col("parsed.fields").isNull(), "unreadable request")
     return rows.withColumn("error", error)
 
 
