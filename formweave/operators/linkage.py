@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from formweave.functions.fuzzy import similarity
 from formweave.functions.text import is_blank, normalize_label
+from formweave.sources.stage import staged
 
 LABEL_THRESHOLD, PROPOSAL_THRESHOLD = 80, 60
 MISSING, TO_REVIEW, AUTO_VALIDATED = "MISSING", "TO_REVIEW", "AUTO_VALIDATED"
@@ -61,7 +62,7 @@ def leftovers(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def classify(pairs: DataFrame, targets: DataFrame, synonyms: DataFrame, least: int = LABEL_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Fields and leftover pairs."""
-    chosen = assign(candidates(pairs, synonyms, least))
+    chosen = staged(assign(candidates(pairs, synonyms, least)))
     return complete(pairs, targets, chosen), leftovers(pairs, chosen)
 
 
@@ -99,10 +100,10 @@ def normalize_value_of(column: str) -> Column:
 
 def classify_with_proposals(pairs: DataFrame, proposals: DataFrame, targets: DataFrame, synonyms: DataFrame, least: int = LABEL_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Proposals first; the fuzzy assignment serves the fields and pairs that remain."""
-    first = resolve_proposals(pairs, proposals, targets, synonyms)
+    first = staged(resolve_proposals(pairs, proposals, targets, synonyms))
     rest = candidates(pairs, synonyms, least).join(first.select("doc_id", "pair_idx"), ["doc_id", "pair_idx"], "left_anti")
     rest = rest.join(first.select("doc_id", "target_idx"), ["doc_id", "target_idx"], "left_anti")
-    chosen = first.unionByName(assign(rest))
+    chosen = staged(first.unionByName(assign(rest)))
     return complete(pairs, targets, chosen), leftovers(pairs, chosen)
 
 

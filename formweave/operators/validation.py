@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formweave.functions.fuzzy import cannot_reach, ratio
 from formweave.functions.text import is_blank, normalize_label, normalize_value
 from formweave.operators.linkage import AUTO_VALIDATED, TO_REVIEW
+from formweave.sources.stage import staged
 
 CODE_THRESHOLD = 85
 
@@ -18,7 +19,7 @@ def validate(fields: DataFrame, codes: DataFrame, least: int = CODE_THRESHOLD) -
     ``codes`` has field, ord, code and libelle. Only a field under review with a value is looked up; a value without
     a code near enough is kept as it is.
     """
-    plain = fields.withColumn("__v", F.when((F.col("status") == TO_REVIEW) & ~is_blank(F.col("value")), normalize_value(F.col("value"))))
+    plain = staged(fields).withColumn("__v", F.when((F.col("status") == TO_REVIEW) & ~is_blank(F.col("value")), normalize_value(F.col("value"))))
     values = plain.where("__v is not null").select("name", "__v").distinct()
     table = codes.where(~is_blank(F.col("code"))).select(F.col("field").alias("name"), "ord", "code", "libelle", normalize_value(F.col("code")).alias("__c"))
     pairs = values.join(table, "name").where(~cannot_reach(F.col("__v"), F.col("__c"), least))
