@@ -43,7 +43,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def _letters(text: str) -> bytes:
     """Lower-case letters with single spaces between and around; empty without letters."""
     bare = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    return f" {bare} ".encode("utf-8", "surrogatepass") if bare else b""
+    return f" {bare} ".encode("utf-8", "surrogatepass") if any(map(str.isalpha, bare)) else b""  # not for ² or ½ alone
 
 
 def _hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -144,7 +144,8 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     if not n:
         return fit([])
     share = min(1.0, sample_rows / n)
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))) if share < 1 else F.lit(True))
+    drawn = F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(1 << 50)) < F.lit(int(share * (1 << 50)))  # fine enough for 10**14 rows
+    picked = usable.where(drawn) if share < 1 else usable
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

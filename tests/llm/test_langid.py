@@ -18,7 +18,7 @@ def test_held_out_accuracy(spark):
 def test_odd_tables(spark, empty):
     taught = spark.createDataFrame([(i, t, x, 1.0) for i in range(40) for t, x in (("the cat and the dog went home", "en"), ("le chat et le chien sont là", "fr"))], "doc_id long, text string, lang string, score double")
     model = langid.train(taught, F.lit(True))
-    asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 !! 7"), (4, "the dog and the cat"), (None, "le chien et le chat"), (6, "дом " * 5), (7, "a")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 !! 7 ²½"), (4, "the dog and the cat"), (None, "le chien et le chat"), (6, "дом " * 5), (7, "a")], "doc_id long, text string")
     rows = {r.doc_id: r for r in langid.predict(asked, model).collect()}
     assert [rows[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(rows[i].rejected and rows[i].score == 0 for i in (1, 2, 3))
     assert rows[4].lang_pred == "en" and rows[None].lang_pred == "fr"
