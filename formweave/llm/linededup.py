@@ -90,7 +90,7 @@ class Cuckoo:
             n *= 2
         while True:
             out = Cuckoo(n)
-            if all(out.insert(k) for k in keys):
+            if all(map(out._put, *(x.tolist() for x in out.places(keys, n)))):
                 return out
             n *= 2
 
@@ -108,22 +108,27 @@ class Cuckoo:
         return (mark * np.uint64(0x5BD1E995)) & last
 
     def insert(self, key: np.ndarray) -> bool:
-        mark, one, two = (x[0] for x in self.places(key[None, :], self.n))
+        return self._put(*(int(x[0]) for x in self.places(key[None, :], self.n)))
+
+    def _put(self, mark: int, one: int, two: int) -> bool:
+        """Whether the mark found a place; if not, all others are back in theirs."""
         for b in (one, two):
             free = np.flatnonzero(self.table[b] == 0)
             if len(free):
                 self.table[b, free[0]] = mark
                 return True
-        at, before = int(one), self.table.copy()
+        at, moved = one, []
         for kick in range(KICKS):
             slot = kick % SLOTS
-            mark, self.table[at, slot] = self.table[at, slot], mark
-            at = int(np.uint64(at) ^ self._jump(np.uint64(mark), np.uint64(self.n - 1)))
+            moved.append((at, slot))
+            mark, self.table[at, slot] = int(self.table[at, slot]), mark
+            at ^= int(self._jump(np.uint64(mark), np.uint64(self.n - 1)))
             free = np.flatnonzero(self.table[at] == 0)
             if len(free):
                 self.table[at, free[0]] = mark
                 return True
-        self.table = before
+        for at, slot in reversed(moved):
+            mark, self.table[at, slot] = int(self.table[at, slot]), mark
         return False
 
     def delete(self, key: np.ndarray) -> bool:
@@ -311,9 +316,9 @@ class LineIndex:
         drop = found.join(filters.select("keys").mapInArrow(exact, "k0 long, k1 long"), ["k0", "k1"], "left_semi")
         drop = drop.groupBy("__row").agg(F.flatten(F.collect_list("at")).alias("__drop"))
         split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-        stay = F.filter(F.transform(F.col("__lines"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__gone"), s["i"]))
+        places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))  # by hash, in order
         out = rows.join(drop, "__row", "left").withColumn("__lines", split).withColumn("__gone", F.coalesce(F.col("__drop"), F.array().cast("array<int>")))
-        kept = F.when(F.size("__gone") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda s: s["x"]), "\n"))
+        kept = F.when(F.size("__gone") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n"))
         out = out.withColumn("__kept", kept).withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": F.size("__gone").cast("long")})
         return out.select(*(F.col("__kept").alias(c) if c == text else F.col(c) for c in keep), "n_lines", "n_dropped")
 

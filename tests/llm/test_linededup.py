@@ -78,3 +78,16 @@ def test_query_hash(docs):
     wanted = {k: hashlib.sha256(v[2].encode()).hexdigest() for k, v in expected(docs).items()}
     assert {r.doc_id: r.h for r in df.collect()} == wanted
     assert "op9_line_dedup" in queries.queries()
+
+
+def test_a_full_cuckoo_filter_stays_as_it_was():
+    keys = np.random.default_rng(2).integers(-(2**62), 2**62, (40, 2))
+    cuckoo = linededup.Cuckoo(4)
+    held = []
+    for k in keys:
+        before = cuckoo.table.copy()
+        if cuckoo.insert(k):
+            held.append(k)
+        else:
+            assert (cuckoo.table == before).all()
+    assert 12 <= len(held) <= 16 and cuckoo.contains(np.array(held)).all()
