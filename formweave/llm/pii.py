@@ -5,13 +5,16 @@ behind a title) are replaced in the text. An entity's norm (digits only, lower c
 so that the same entity gets the same surrogate in every document and format:
 
 * digits of a number stay as many, and fall into the places of the original's format; card numbers keep their first
-  digit and pass the Luhn check if the original does; phone numbers keep a country code and the line prefix 555;
+  digit and pass the Luhn check if the original does; IBANs keep their country and pass the modulo-97 check if the
+  original does; phone numbers keep a country code and the line prefix 555;
 * e-mail local parts and domains are replaced apart, so that people of one domain share one; IPv4 octets stay octets;
-* names keep title, gender (as the title tells it), script (Latin, Cyrillic or Greek) and the number of words.
+* names keep title, gender (as the title tells it), script (Latin, Cyrillic or Greek) and the number of words; later
+  attempts have longer family names, so that names cannot run out.
 
 Collision check: all different entities are given a surrogate; where two share one, or where a surrogate is itself an
 entity of the corpus, all but the first are tried again with the next attempt number, round after round until all
-differ. The few such exceptions are joined back to the texts that hold them (by the text's hash); all other surrogates
+differ. From half the attempts on, which only formats with few free places reach, a surrogate may be another entity of
+the corpus, though never the entity itself. The few such exceptions are joined back to the texts that hold them (by the text's hash); all other surrogates
 are computed in place, without a shuffle of texts.
 
 Defined results: a null text stays null with no entities; repeated rows get equal results; null ``doc_id`` values pass
@@ -93,6 +96,20 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda acc, x: acc + x) % 10
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of a string of digits and capitals, A standing for 10."""
+    each = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(each, F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97)
+
+
+def _checked_iban(norm: Column, country: Column, body: Column) -> Column:
+    """Country, check digits and body: the first two digits of ``body`` stay where ``norm`` fails the check."""
+    account = F.substring(body, F.lit(3), F.length(body))
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    return F.concat(country, F.when(valid, check).otherwise(F.substring(body, 1, 2)), account)
+
+
 def surrogate_norm(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
     """The norm of an entity's surrogate at an attempt."""
     h = _hash(key, F.concat_ws(":", kind, norm), attempt)
@@ -104,17 +121,18 @@ def surrogate_norm(kind: Column, norm: Column, attempt: Column, key: str = KEY)
     us = (n >= 10) & (F.substring(norm, -7, 3) == "555")
     phone = F.when(us, F.concat(F.substring(norm, F.lit(1), cut), F.substring(stream, 1, 3), F.lit("555"), F.substring(stream, 4, 4))).otherwise(F.concat(F.substring(norm, F.lit(1), F.least(n, F.lit(2))), F.substring(stream, F.lit(1), F.greatest(n - 2, F.lit(0)))))
     ssn = F.substring(stream, F.lit(1), n)
-    iban = F.concat(F.substring(norm, 1, 2), F.array_join(F.transform(F.filter(F.split(F.substring(norm, F.lit(3), n), ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(stream, i + 1, F.lit(1))).otherwise(F.chr(F.lit(65) + F.conv(F.substring(h, i + 1, F.lit(1)), 16, 10).cast("int")))), ""))
+    iban = _checked_iban(norm, F.substring(norm, 1, 2), F.array_join(F.transform(F.filter(F.split(F.substring(norm, F.lit(3), n), ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(stream, i + 1, F.lit(1))).otherwise(F.chr(F.lit(65) + F.conv(F.substring(h, i + 1, F.lit(1)), 16, 10).cast("int")))), ""))
     domain_hash = _hash(key, F.concat(F.lit("domain:"), F.substring_index(norm, "@", -1)), F.lit(0))
     letters = F.translate(F.substring(h, 1, 10), "0123456789", "ghijklmnop")
     email = F.concat(letters, F.lit("@"), F.translate(F.substring(domain_hash, 1, 8), "0123456789", "qrstuvwxyz"), F.lit(".example.org"))
     ip = F.concat_ws(".", *((_number(h, 1 + 7 * i) % 254 + 1).cast("string") for i in range(4)))
     bare, gender = F.substring_index(norm, ":", -1), F.substring_index(norm, ":", 1)
-    words = F.size(F.split(bare, " "))
+    words, more = F.size(F.split(bare, " ")), _hash(key, F.concat(F.lit("longer:"), norm), attempt)
 
     def named(script: str) -> Column:
         given = F.when((gender == "f") | ((gender == "") & (_number(h, 1) % 2 == 0)), _pick(GIVEN[script]["f"], _number(h, 8))).otherwise(_pick(GIVEN[script]["m"], _number(h, 8)))
-        family = F.concat(*(_pick(SYLLABLES[script], _number(h, 15 + 7 * i)) for i in range(4)))
+        longer = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 8).cast("int")), lambda i: _pick(SYLLABLES[script], F.conv(F.substring(more, i * 7 + 1, F.lit(7)), 16, 10).cast("long"))), "")
+        family = F.concat(*(_pick(SYLLABLES[script], _number(h, 15 + 7 * i)) for i in range(4)), F.when(attempt > 0, longer).otherwise(""))
         middle = F.concat(*(_pick(SYLLABLES[script], _number(h, 43 + 7 * i)) for i in range(2)))
         return F.lower(F.when(words == 1, family).when(words == 2, F.concat_ws(" ", given, family)).otherwise(F.concat_ws(" ", given, middle, family)))
 
@@ -165,7 +183,8 @@ def exceptions(entities: DataFrame, key: str = KEY) -> DataFrame:
             judged = judged.join(settled.select("kind", "surrogate", F.lit(True).alias("used")), ["kind", "surrogate"], "left")
         else:
             judged = judged.withColumn("used", F.lit(None).cast("boolean"))
-        judged = checkpointed(judged.withColumn("own", (F.col("place") == 1) & F.col("real").isNull() & F.col("used").isNull()))
+        apart = F.col("real").isNull() | (F.lit(attempt > ATTEMPTS // 2) & (F.col("surrogate") != F.col("norm")))
+        judged = checkpointed(judged.withColumn("own", (F.col("place") == 1) & apart & F.col("used").isNull()))
         good = judged.where("own").select("kind", "norm", "surrogate")
         if attempt == 1:
             settled = good

@@ -51,6 +51,30 @@ def test_exceptions_reach_the_texts(spark, monkeypatch):
     assert len({m for own in mails for m in own}) == 6 and mails[0] == mails[6] and mails[0][1] == mails[1][0]
 
 
+def test_crowded_kinds_do_not_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 30)
+    # half of all numbers of two digits
+    names = spark.range(50).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 2, "0").alias("norm"))
+    entities = checkpointed(names)
+    fixed = {r.norm: r.surrogate for r in pii.exceptions(entities).collect()}
+    first = entities.select("norm", pii.surrogate_norm(F.lit("ssn"), F.col("norm"), F.lit(0)).alias("s")).collect()
+    final = {r.norm: fixed.get(r.norm, r.s) for r in first}
+    assert len(set(final.values())) == 50 and all(k != v for k, v in final.items())
+    # names grow longer instead
+    name = lambda at: spark.range(1).select(pii.surrogate_norm(F.lit("name"), F.lit("m:dupont"), F.lit(at)).alias("s")).first().s
+    assert [len(name(at)) for at in (0, 1, 7, 8, 16)] == [len("m:") + 2 * n for n in (4, 5, 5, 6, 7)]
+
+
+def test_iban_check_digits(spark):
+    def valid(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    rows = [(i, x) for i, x in enumerate(["DE89370400440532013000", "GB29NWBK60161331926819", "DE00370400440532013000", "FR1420041010050500013M02606"])]
+    made = [r.s for r in spark.createDataFrame(rows, "i long, norm string").orderBy("i").select(pii.surrogate_norm(F.lit("iban"), F.col("norm"), F.lit(0)).alias("s")).collect()]
+    assert [valid(s) for s in made] == [True, True, False, True]
+    assert all(len(s) == len(x) and s[:2] == x[:2] and s != x and [c.isdigit() for c in s] == [c.isdigit() for c in x] for s, (_, x) in zip(made, rows, strict=True))
+
+
 def test_keys_and_odd_tables(spark, empty):
     df = spark.createDataFrame([(1, "a@b.example.com", 3)] * 2, "doc_id long, text string, n_entities long")
     a, b = (pii.replace(df, key=k).collect() for k in ("k1", "k2"))
