@@ -44,7 +44,7 @@ scores AS (SELECT *, greatest(ratio, token_set - 1) AS similarity FROM rs)"""
 
 
 _TARGETS = f"targets AS (SELECT * FROM {_values(_TARGET_ROWS, 'target_idx', 'name')}),\nsynonyms AS (SELECT * FROM {_values(_SYNONYM_ROWS, 'target_idx', 'syn_idx', 'synonym')})"
-_LINK = f"""
+_BEST = f"""
 {_FORMS},
 {_TARGETS},
 labels AS (SELECT DISTINCT label, {_norm("label")} AS a FROM pairs),
@@ -52,12 +52,13 @@ words AS (SELECT *, {_norm("synonym")} AS b FROM synonyms),
 asked AS (SELECT a, b FROM labels, words WHERE a <> '' AND b <> ''),
 {_scores("asked")},
 best AS (
-  SELECT label, target_idx, similarity AS score, synonym FROM labels JOIN scores USING (a) JOIN words USING (b) WHERE similarity >= 80
-  QUALIFY row_number() OVER (PARTITION BY label, target_idx ORDER BY similarity DESC, syn_idx) = 1),
+  SELECT label, target_idx, similarity AS score, synonym FROM labels JOIN scores USING (a) JOIN words USING (b) WHERE similarity >= 60
+  QUALIFY row_number() OVER (PARTITION BY label, target_idx ORDER BY similarity DESC, syn_idx) = 1)"""
+_ASSIGN = """
 cand AS (
   SELECT doc_id, pair_idx, target_idx, score, synonym, label, value,
     row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, trim(value) = '', target_idx, pair_idx) AS k
-  FROM pairs JOIN best USING (label)),
+  FROM free JOIN best USING (label) ANTI JOIN done USING (doc_id, target_idx) WHERE score >= 80),
 fold AS (
   SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS t, []::BIGINT[] AS p, false AS taken FROM (SELECT DISTINCT doc_id FROM cand)
   UNION ALL
@@ -66,6 +67,29 @@ fold AS (
     NOT (list_contains(t, c.target_idx) OR list_contains(p, c.pair_idx))
   FROM fold JOIN cand c ON c.doc_id = fold.doc_id AND c.k = fold.k + 1),
 chosen AS (SELECT cand.* FROM cand JOIN fold USING (doc_id, k) WHERE taken)"""
+_LINK = f"""{_BEST},
+free AS (SELECT * FROM pairs), done AS (SELECT 0::BIGINT AS doc_id, 0 AS target_idx WHERE false),{_ASSIGN}"""
+#: Proposals in their order, each with the pairs that have its value; a step takes the first one left.
+_PROPOSED = f"""{_BEST},
+said AS (
+  SELECT doc_id, pair_idx AS asg_idx, label, [{", ".join(f"'{n}'" for n in TARGETS)}][((pair_idx + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % 5 + 1)::INT] AS name,
+    CASE WHEN doc_id % 4 = 0 AND pair_idx = 1 THEN 'invented' ELSE upper(value) END AS value FROM pairs WHERE pair_idx < 4),
+props AS (SELECT doc_id, asg_idx, target_idx, {_norm("label")} AS l, {_norm("value")} AS v FROM said JOIN targets USING (name) WHERE trim(value) <> ''),
+reads AS (SELECT doc_id, pair_idx, label, {_norm("label")} AS l, {_norm("value")} AS v FROM pairs),
+steps AS (
+  SELECT p.doc_id, p.target_idx, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.asg_idx) AS k,
+    list(struct_pack(pair := r.pair_idx, score := coalesce(b.score, -1)) ORDER BY p.l <> r.l, r.pair_idx) AS o
+  FROM props p JOIN reads r ON r.doc_id = p.doc_id AND r.v = p.v LEFT JOIN best b ON b.label = r.label AND b.target_idx = p.target_idx
+  GROUP BY p.doc_id, p.asg_idx, p.target_idx),
+walk AS (
+  SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS t, []::BIGINT[] AS p, NULL::BIGINT AS target_idx, NULL::BIGINT AS pair_idx, 0::BIGINT AS score, false AS taken FROM (SELECT DISTINCT doc_id FROM steps)
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN good THEN list_append(t, target_idx) ELSE t END, CASE WHEN good THEN list_append(p, x.pair) ELSE p END, target_idx, x.pair, x.score, good
+  FROM (
+    SELECT *, coalesce(x.score >= 60 AND NOT list_contains(t, target_idx), false) AS good
+    FROM (SELECT s.doc_id, s.k, w.t, w.p, s.target_idx::BIGINT AS target_idx, list_filter(s.o, lambda z: NOT list_contains(w.p, z.pair))[1] AS x FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.k = w.k + 1))),
+done AS (SELECT doc_id, target_idx, pair_idx, score FROM walk WHERE taken),
+free AS (SELECT * FROM pairs ANTI JOIN done USING (doc_id, pair_idx)),{_ASSIGN}"""
 _CODES = f"""
 codes AS (
   SELECT field, ord, code FROM {_values(_CODE_ROWS, "field", "ord", "code", "libelle")}
@@ -178,6 +202,12 @@ LEFT JOIN hit ON hit.name = t.name AND hit.value = c.value""",
         "linkage_misses": f"""
 WITH RECURSIVE {_LINK}
 SELECT count(*) AS n_misses FROM (SELECT DISTINCT doc_id, target_idx FROM cand ANTI JOIN chosen USING (doc_id, pair_idx)) x ANTI JOIN chosen USING (doc_id, target_idx)""",
+        "link_proposals": f"""
+WITH RECURSIVE {_PROPOSED},
+taken AS (SELECT doc_id, target_idx, pair_idx, score FROM done UNION ALL SELECT doc_id, target_idx, pair_idx, score FROM chosen)
+SELECT d.doc_id, t.target_idx::INT AS target_idx, t.name, p.label, p.value, coalesce(x.score, 0)::INT AS score, CASE WHEN x.doc_id IS NULL THEN 'MISSING' ELSE 'TO_REVIEW' END AS status
+FROM (SELECT DISTINCT doc_id FROM pairs) d CROSS JOIN targets t LEFT JOIN taken x ON x.doc_id = d.doc_id AND x.target_idx = t.target_idx
+LEFT JOIN pairs p ON p.doc_id = x.doc_id AND p.pair_idx = x.pair_idx""",
         "text_functions": rf"""
 WITH d AS (SELECT doc_id, substr(text, 1, 60) AS t, '00' || doc_id || ' :' AS v FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, {_norm("t")} AS label_form, {_value_norm("v")} AS value_form,
