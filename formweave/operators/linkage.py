@@ -99,12 +99,20 @@ def normalize_value_of(column: str) -> Column:
 
 
 def classify_with_proposals(pairs: DataFrame, proposals: DataFrame, targets: DataFrame, synonyms: DataFrame, least: int = LABEL_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Proposals first; the fuzzy assignment serves the fields and pairs that remain."""
-    first = staged(resolve_proposals(pairs, proposals, targets, synonyms))
+    """Proposals first; the fuzzy assignment serves the fields and pairs that remain.
+
+    Targets that repeat a name all show what the first of them got; what the others took is no leftover.
+    """
+    named = targets.select("target_idx", "name").join(F.broadcast(targets.groupBy("name").agg(F.min("target_idx").alias("first"))), "name")
+    one = named.where(F.col("target_idx") == F.col("first")).select("target_idx", "name")
+    first = staged(resolve_proposals(pairs, proposals, one, synonyms))
+    served = first.select("doc_id", F.col("target_idx").alias("first")).join(F.broadcast(named), "first").select("doc_id", "target_idx")
     rest = candidates(pairs, synonyms, least).join(first.select("doc_id", "pair_idx"), ["doc_id", "pair_idx"], "left_anti")
-    rest = rest.join(first.select("doc_id", "target_idx"), ["doc_id", "target_idx"], "left_anti")
+    rest = rest.join(served, ["doc_id", "target_idx"], "left_anti")
     chosen = staged(first.unionByName(assign(rest)))
-    return complete(pairs, targets, chosen), leftovers(pairs, chosen)
+    fields = complete(pairs, one, chosen)
+    shown = fields.drop("target_idx").join(F.broadcast(targets.select("target_idx", "name")), "name")
+    return shown.select(fields.columns), leftovers(pairs, chosen)
 
 
 def linkage_misses(fields: DataFrame, left: DataFrame, synonyms: DataFrame, least: int = LABEL_THRESHOLD) -> DataFrame:

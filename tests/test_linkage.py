@@ -49,6 +49,16 @@ def test_golden_proposals(spark, pairs, targets, proposals, expected, left):
     assert ([x[:3] for x in found], kept) == ([x[:3] for x in expected], left)
 
 
+def test_repeated_names_share_a_result(spark):
+    pairs = spark.createDataFrame([(1, 0, "Indice", "B"), (1, 1, "Indice", "C"), (2, 0, "Ind", "D"), (2, 1, "Indice", "E")], "doc_id long, pair_idx int, label string, value string")
+    targets = spark.createDataFrame([(0, "Indice"), (1, "Indice"), (2, "Lot")], "target_idx int, name string")
+    synonyms = spark.createDataFrame([(0, 0, "Indice"), (1, 0, "Indice")], "target_idx int, syn_idx int, synonym string")
+    proposals = spark.createDataFrame([(2, 0, "Indice", "Ind", "D")], "doc_id long, asg_idx int, field string, label string, value string")
+    fields, left = linkage.classify_with_proposals(pairs, proposals, targets, synonyms)
+    assert [(r.doc_id, r.target_idx, r.value) for r in fields.orderBy("doc_id", "target_idx").collect()] == [(1, 0, "B"), (1, 1, "B"), (1, 2, None), (2, 0, "D"), (2, 1, "D"), (2, 2, None)]
+    assert [(r.doc_id, r.value) for r in left.collect()] == [(2, "E")]
+
+
 def test_golden_validation(spark):
     codes = spark.createDataFrame([("PHASE", 0, "EXE", "Exécution"), ("PHASE", 1, "APS", "x"), ("LOT", 0, "02", "b"), ("LOT", 1, "03", "Terrassements"), ("TYPE", 0, "O11", "o"), ("NIVEAU", 0, "RDC", "r"), ("LOT", 2, " ", "blank")], "field string, ord int, code string, libelle string")
     rows = [("PHASE", "EXE", R), ("PHASE", "999", R), ("EMETTEUR", "CPI", R), ("LOT", "003", R), ("TYPE", "O11", R), ("NIVEAU", "rdc", R), ("PHASE", "", R), ("PHASE", None, M)]
