@@ -13,7 +13,7 @@ so that the same entity gets the same surrogate in every document and format:
 
 Collision check: all different entities are given a surrogate; where two share one, or where a surrogate is itself an
 entity of the corpus, all but the first are tried again with the next attempt number, round after round until all
-differ. From half the attempts on, which only formats with few free places reach, a surrogate may be another entity of
+differ. Entities are detected once for this, into a table by the text's hash. From half the attempts on, which only formats with few free places reach, a surrogate may be another entity of
 the corpus, though never the entity itself. The few such exceptions are joined back to the texts that hold them (by the text's hash); all other surrogates
 are computed in place, without a shuffle of texts.
 
@@ -203,13 +203,15 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in the text, and ``n_entities``."""
     keep = others(docs, "n_entities")
     rows = detect(docs.select(*keep), text)
-    found = rows.select(F.explode("__found").alias("x")).select("x.kind", "x.norm")
-    odd = checkpointed(exceptions(checkpointed(found.distinct()), key))
+    found = detect(docs.select(text), text).where(F.size("__found") > 0)
+    kept = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm")))
+    held = checkpointed(found.select(F.md5(F.col(text)).alias("__of"), F.array_distinct(kept).alias("x")).distinct())
+    held = held.select("__of", F.explode("x").alias("x")).select("__of", "x.kind", "x.norm")
+    odd = checkpointed(exceptions(checkpointed(held.select("kind", "norm").distinct()), key))
     n_odd = odd.count()
     if n_odd:
-        held = detect(docs.select(text), text).where(F.size("__found") > 0).select(F.md5(F.col(text)).alias("__of"), F.explode("__found").alias("x"))
         side = F.broadcast(odd) if n_odd <= SMALL_ROWS else odd
-        fixes = held.select("__of", "x.kind", "x.norm").distinct().join(side, ["kind", "norm"])
+        fixes = held.join(side, ["kind", "norm"])
         fixes = checkpointed(fixes.groupBy("__of").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "norm"), F.col("surrogate")))).alias("__fix")))
         side = F.broadcast(fixes) if fixes.count() <= SMALL_ROWS else fixes
         rows = rows.withColumn("__of", F.when(F.size("__found") > 0, F.md5(F.col(text)))).join(side, "__of", "left")
