@@ -7,9 +7,11 @@ counts, and the driver turns them into sorted arrays of packed n-grams with inte
 weights (discounts D1, D2, D3+ per order; lower orders from continuation counts). Documents are scored by binary
 search in these arrays, backing off where an n-gram is missing.
 
-Bands: per language (column ``lang``, null being one of its own), the quartiles of log-perplexity over documents that
-pass the base rules give ``median - WIDTH * (median - q1)`` and ``median + WIDTH * (q3 - median)``, and ``LEAST_WIDTH``
-to either side at least, as short texts vary more; documents outside are rejected.
+Bands: per language (column ``lang``, null being one of its own), over documents that pass the base rules. A mean over n
+characters varies by about 1/sqrt(n), so a document's distance from the median log-perplexity is taken times the square
+root of its characters other than blanks; with the quartiles of these distances, documents below
+``q2 - WIDTH * (q2 - q1)`` or above ``q2 + WIDTH * (q3 - q2)`` are rejected. For languages whose documents are all but
+alike, each side is at least ``LEAST_WIDTH``, in nats at one character.
 
 Defined results: a null text has no words and fails the base rules; repeated rows are judged alike; null ``doc_id``
 and ``lang`` values are kept as they are; an empty table gives an empty table; of clashing names, the operator's win.
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +34,7 @@ from formweave.llm.shared import checkpointed, others, slices, with_small
 SYMBOLS, ORDER = 64, 4
 BITS = 6
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-WIDTH, LEAST_WIDTH = 12.0, 0.7
+WIDTH, LEAST_WIDTH = 5.0, 2.0
 #: Fixed value: characters that count as symbols.
 MARKS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -222,17 +224,24 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def _distance() -> Column:
+    """The distance from the median log-perplexity ``__mid``, in nats at one character."""
+    return (F.col("log_perplexity") - F.col("__mid")) * F.sqrt(F.col("word_chars").cast("double"))
+
+
 def bands(scored: DataFrame, lang: str = "lang") -> DataFrame:
-    """``lang, low, high``: the log-perplexities between which documents of a language are kept."""
-    q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 5000)
-    rows = scored.where(~F.col("base_failed")).groupBy(F.col(lang).alias("of")).agg(q.alias("q"))
-    low, mid, high = (F.col("q")[i] for i in range(3))
-    return rows.select("of", (mid - F.greatest(WIDTH * (mid - low), F.lit(LEAST_WIDTH))).alias("low"), (mid + F.greatest(WIDTH * (high - mid), F.lit(LEAST_WIDTH))).alias("high"))
+    """``__of, __mid, __low, __high``: a language's median log-perplexity, and the distances from it between which its documents are kept."""
+    good = scored.where(~F.col("base_failed"))
+    mids = checkpointed(good.groupBy(F.col(lang).alias("__of")).agg(F.percentile_approx("log_perplexity", 0.5, 5000).alias("__mid")))
+    q = F.percentile_approx(_distance(), [0.25, 0.5, 0.75], 5000)
+    rows = with_small(good, mids, lang, "__of").groupBy("__of", "__mid").agg(q.alias("q"))
+    q1, q2, q3 = (F.col("q")[i] for i in range(3))
+    return rows.select("__of", "__mid", (q2 - F.greatest(WIDTH * (q2 - q1), F.lit(LEAST_WIDTH))).alias("__low"), (q2 + F.greatest(WIDTH * (q3 - q2), F.lit(LEAST_WIDTH))).alias("__high"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without its text, with the base counts, ``base_failed``, ``log_perplexity`` and ``kept``."""
     scored = checkpointed(score(docs, train(docs, text), text).drop(text))
-    rows = with_small(scored, checkpointed(bands(scored, lang)), lang, "of")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.withColumn("kept", kept).drop("of", "low", "high")
+    rows = with_small(scored, checkpointed(bands(scored.select(F.col(lang), "base_failed", "log_perplexity", "word_chars"), lang)), lang, "__of")
+    kept = ~F.col("base_failed") & F.coalesce(_distance().between(F.col("__low"), F.col("__high")), F.lit(False))
+    return rows.withColumn("kept", kept).drop("__of", "__mid", "__low", "__high")

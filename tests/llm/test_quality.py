@@ -52,3 +52,14 @@ def test_odd_tables(spark, empty):
     odd = spark.createDataFrame([(None, None, None, 5), (1, "", "en", 5), (1, "", "en", 5), (2, "a b c d e f g h i j k", None, 5)], "doc_id long, text string, lang string, kept long")
     rows = quality.judge(odd).collect()
     assert len(rows) == 4 and sum(r.kept for r in rows) == 1 and sum(r.base_failed for r in rows) == 3
+
+
+def test_labelled_junk_of_ordinary_letters_is_rejected(spark):
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9), p=[0.15, 0.12, 0.1, 0.1, 0.1, 0.09, 0.08, 0.08, 0.06, 0.05, 0.04, 0.03])) for _ in range(300)]
+    written = lambda n: " ".join(rng.choice(vocab, n))
+    good = [(i, written(int(rng.integers(12, 900)))) for i in range(400)]
+    junk = [(1000 + i, " | ".join(written(2).upper() + str(rng.integers(10, 99)) for _ in range(150))) for i in range(4)]
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, t, "en") for i, t in good + junk], "doc_id long, text string, lang string")).collect()}
+    assert not any(rows[i].base_failed or rows[i].kept for i, _ in junk)
+    assert sum(rows[i].kept for i, _ in good if not rows[i].base_failed) >= 398 - sum(rows[i].base_failed for i, _ in good)
