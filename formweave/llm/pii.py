@@ -14,7 +14,10 @@ so that the same entity gets the same surrogate in every document and format:
 Collision check: all different entities are given a surrogate; where two share one, or where a surrogate is itself an
 entity of the corpus, all but the first are tried again with the next attempt number, round after round until all
 differ. Entities are detected once for this, into a table by the text's hash. From half the attempts on, which only formats with few free places reach, a surrogate may be another entity of
-the corpus, though never the entity itself. The few such exceptions are joined back to the texts that hold them (by the text's hash); all other surrogates
+the corpus, though never the entity itself. Phone and social security numbers left after ``ATTEMPTS`` are matched with
+the free places of their formats by rank in the order of keyed hashes, those that are no entities first; the few that
+would get themselves pass their places round, so that full formats are permuted. All other kinds have far more places
+than a corpus has entities, and go on until all differ. The few such exceptions are joined back to the texts that hold them (by the text's hash); all other surrogates
 are computed in place, without a shuffle of texts.
 
 Defined results: a null text stays null with no entities; repeated rows get equal results; null ``doc_id`` values pass
@@ -24,6 +27,7 @@ through; an empty table gives an empty table; of clashing names, ``n_entities``
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ from formweave.llm.shared import SMALL_ROWS, checkpointed, others
 
 KEY = "surrogate-key"
 ATTEMPTS = 40
+#: Kinds whose formats can be full.
+RANKED = ("phone", "ssn")
 
 #: Fixed patterns, tried in this order at each place.
 PATTERNS = {
@@ -175,8 +181,8 @@ def exceptions(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     originals = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
     first = checkpointed(tried(entities, 0))
-    settled, left, done = first, first, None
-    for attempt in range(1, ATTEMPTS + 1):
+    settled, left, done = first, first, first.limit(0)
+    for attempt in count(1):
         place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("norm"))
         judged = left.withColumn("place", place).join(originals, ["kind", "surrogate"], "left")
         if attempt > 1:  # also apart from what others have got already
@@ -189,14 +195,52 @@ def exceptions(entities: DataFrame, key: str = KEY) -> DataFrame:
         if attempt == 1:
             settled = good
         else:
-            settled, done = settled.unionByName(good), good if done is None else done.unionByName(good)
+            settled, done = settled.unionByName(good), done.unionByName(good)
         bad = judged.where(~F.col("own")).select("kind", "norm")
+        if attempt == ATTEMPTS:
+            ranked = by_rank(bad.where(F.col("kind").isin(*RANKED)), settled, originals, key)
+            settled, done = (x.join(ranked.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(ranked) for x in (settled, done))
+            bad = bad.where(~F.col("kind").isin(*RANKED))
         if not bad.limit(1).count():
-            break
+            return done
         left = checkpointed(tried(bad, attempt))
-    else:
-        raise RuntimeError("surrogates of some kind have run out")
-    return first.limit(0) if done is None else done
+
+
+def by_rank(left: DataFrame, settled: DataFrame, originals: DataFrame, key: str = KEY) -> DataFrame:
+    """``kind, norm, surrogate`` of all rows of ``left`` and of the settled rows that change places with them."""
+    keyed = lambda c: F.sha2(F.concat_ws("|", F.lit(key), F.lit("rank"), "kind", c), 256)
+    form = ["kind", "head", "n", "us"]
+
+    def formed(rows: DataFrame) -> DataFrame:
+        n = F.length("norm")
+        us = (F.col("kind") == "phone") & (n >= 10) & (F.substring("norm", -7, 3) == "555")
+        head = F.when(us, F.substring("norm", F.lit(1), n - 10)).when(F.col("kind") == "phone", F.substring("norm", 1, 2)).otherwise("")
+        return rows.withColumn("n", n).withColumn("us", us).withColumn("head", head)
+
+    left = checkpointed(formed(left))
+    used = settled.groupBy("kind", F.length("surrogate").alias("n")).agg(F.count("*").alias("n_used"))
+    formats = left.groupBy(*form).agg(F.count("*").alias("n_left")).join(used, ["kind", "n"], "left")
+    digits = F.when(F.col("us"), 7).otherwise(F.col("n") - F.length("head"))
+    formats = formats.withColumn("digits", digits).withColumn("all", F.pow(F.lit(10.0), F.least("digits", F.lit(15))).cast("long"))
+    # so many places have enough free ones among them
+    formats = formats.withColumn("some", F.least("all", F.coalesce("n_used", F.lit(0)) + 2 * F.col("n_left") + 2)).withColumn("start", _number(keyed(F.concat_ws(":", "head", "n", "us")), 1))
+    blocks = formats.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("some") - 1) / 1000))))
+    places = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * 1000, F.least(F.col("block") * 1000 + 999, F.col("some") - 1))))
+    shown = F.lpad(((F.col("start") + F.col("i")) % F.col("all")).cast("string"), F.col("digits"), F.lit("0"))
+    whole = F.when(F.col("us"), F.concat("head", F.substring(shown, 1, 3), F.lit("555"), F.substring(shown, 4, 4))).otherwise(F.concat("head", shown))
+    free = places.select(*form, whole.alias("surrogate")).join(settled, ["kind", "surrogate"], "left_anti").join(originals, ["kind", "surrogate"], "left")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*form).orderBy(*by))
+    free = free.withColumn("rank", rank(F.col("real").isNotNull(), keyed("surrogate"))).select(*form, "rank", "surrogate")
+    matched = checkpointed(left.withColumn("rank", rank(keyed("norm"), "norm")).join(free, [*form, "rank"]).select(*form, "norm", "surrogate"))
+    still = matched.where(F.col("norm") == F.col("surrogate"))
+    alone = still.groupBy(*form).agg(F.count("*").alias("n_still")).where("n_still = 1").drop("n_still")
+    others_of = matched.where(F.col("norm") != F.col("surrogate")).unionByName(formed(settled).select(*matched.columns))
+    one = F.min(F.struct(keyed("norm").alias("by"), "norm", "surrogate")).alias("one")
+    partners = others_of.join(alone, form, "left_semi").groupBy(*form).agg(one).select(*form, "one.norm", "one.surrogate")
+    ring, turn = Window.partitionBy(*form), Window.partitionBy(*form).orderBy("norm")
+    passed = F.coalesce(F.lead("surrogate").over(turn), F.first("surrogate").over(ring.orderBy("norm")))
+    moved = checkpointed(still.unionByName(partners).withColumn("surrogate", passed).select("kind", "norm", "surrogate"))
+    return checkpointed(matched.select("kind", "norm", "surrogate").join(moved, ["kind", "norm"], "left_anti").unionByName(moved))
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:

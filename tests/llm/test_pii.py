@@ -65,6 +65,27 @@ def test_crowded_kinds_do_not_run_out(spark, monkeypatch):
     assert [len(name(at)) for at in (0, 1, 7, 8, 16)] == [len("m:") + 2 * n for n in (4, 5, 5, 6, 7)]
 
 
+def test_full_formats_are_permuted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    phones = [f"{p}{i:02d}" for p, n in (("12", 100), ("34", 99), ("56", 80), ("78", 1)) for i in range(n)] + [f"9{i:09d}"[:3] + f"555{i:04d}" for i in range(40)]
+    names = spark.createDataFrame([("phone", x) for x in phones] + [("email", f"a{i}@b.org") for i in range(20)], "kind string, norm string")
+    entities = checkpointed(names)
+    fixed = {(r.kind, r.norm): r.surrogate for r in pii.exceptions(entities).collect()}
+    first = entities.select("kind", "norm", pii.surrogate_norm(F.col("kind"), F.col("norm"), F.lit(0)).alias("s")).collect()
+    final = {(r.kind, r.norm): fixed.get((r.kind, r.norm), r.s) for r in first}
+    assert len({(k, s) for (k, _), s in final.items()}) == len(final) and all(n != s for (_, n), s in final.items())
+    assert all(len(n) == len(s) and n[:2] == s[:2] for (k, n), s in final.items() if k == "phone" and len(n) == 4)
+
+
+def test_the_last_free_place_may_be_the_entity_itself(spark):
+    settled = [("ssn", str(i), str(i % 9 + 1 if i else 0)) for i in range(1, 10)]  # 1-9 have each other's places; 0 is left
+    rows = checkpointed(spark.createDataFrame(settled, "kind string, norm string, surrogate string"))
+    real = checkpointed(spark.createDataFrame([("ssn", str(i), True) for i in range(10)], "kind string, surrogate string, real boolean"))
+    moved = {r.norm: r.surrogate for r in pii.by_rank(spark.createDataFrame([("ssn", "0")], "kind string, norm string"), rows, real).collect()}
+    final = {n: s for _, n, s in settled} | moved
+    assert len(moved) == 2 and len(set(final.values())) == 10 and all(n != s for n, s in final.items())
+
+
 def test_iban_check_digits(spark):
     def valid(x):
         return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
