@@ -109,6 +109,13 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.normalize_label(t).alias("label_form"), text.normalize_value(F.col("v")).alias("value_form"), text.simplify(t).alias("simple_form"), text.fold(t).alias("folded"), text.word_count(t).alias("n_words"))
 
 
+def text_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions over whole texts, null ones too; ``text_functions`` and its SQL take the first 60 characters of the others."""
+    t = F.col("text")
+    v = F.concat(F.lit("00"), F.col("doc_id").cast("string"), F.lit(" :"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.normalize_label(t).alias("label_form"), text.normalize_value(v).alias("value_form"), text.simplify(t).alias("simple_form"), text.fold(t).alias("folded"), text.word_count(t).alias("n_words"))
+
+
 def value_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = forms(spark, sf_dir)
     v, label = F.col("value"), F.col("label")
@@ -200,7 +207,7 @@ def response_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    link_fields, link_leftovers, linkage_misses, link_proposals, text_functions, value_predicates, fuzzy_scores, synonym_enrichment, document_scores, label_mentions,
+    link_fields, link_leftovers, linkage_misses, link_proposals, text_functions, text_functions_whole, value_predicates, fuzzy_scores, synonym_enrichment, document_scores, label_mentions,
     extraction_consensus, location_consensus, failed_calls, page_regions, corner_routing, ink_bounds, response_replay,
 ]
 

@@ -78,3 +78,21 @@ def test_normalizing_twice_changes_nothing(values):
     assert evaluate(spark, text.normalize_value, once) == once
     marks = evaluate(spark, text.without_marks, values)
     assert marks == ["".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c)[0] != "M") for v in values]
+
+
+def test_whole_texts_against_brute_force(spark, tmp_path):
+    from formweave.plans import forms
+
+    long = "Étage  premier\r\n" * 300 + "Ünï\tcödé — 12 :\n"
+    texts = [None, "", " \n\t ", "Zone : ", long, "x" * 70 + " É\x0b\x0cà  Ñ:", "word " * 5000 + "ÀÉ:: "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in forms.text_functions_whole(spark, str(tmp_path)).collect()}
+    blanks = " \t\n\x0b\x0c\r"
+    squeezed = lambda s, keep: " ".join("".join(c if keep(c) else " " for c in s).split(" ")).split()
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        folded = "".join(c for c in unicodedata.normalize("NFD", t or "") if unicodedata.category(c)[0] != "M").lower()
+        label = " ".join(squeezed(folded, lambda c: c not in blanks)).rstrip(":").strip()
+        simple = " ".join(squeezed(folded, lambda c: c in "abcdefghijklmnopqrstuvwxyz0123456789"))
+        words = len(squeezed(t or "", lambda c: c not in blanks))
+        assert (rows[i].folded, rows[i].label_form, rows[i].simple_form, rows[i].n_words, rows[i].value_form) == (folded, label, simple, words, f"{i}"), i
