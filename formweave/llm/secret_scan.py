@@ -10,7 +10,8 @@ DataFrame functions only. Three fixed patterns give the base spans. The method a
   word a tiny one;
 * per encoding and length band (powers of two: short strings carry less evidence), the share of random strings is
   estimated from the p-values above ``LAMBDA`` (Storey's estimate), and the least cut is taken at which the estimated
-  share of non-random strings among those accepted is at most ``FALSE_SHARE``. Counts cover all documents; the table
+  share of non-random strings among those accepted is at most ``FALSE_SHARE``. All cuts lie well below ``LAMBDA``, so
+  that a band in which p-values thin out towards 1 has none, and nothing is accepted there. Counts cover all documents; the table
   of cuts has at most one row per encoding and power of two.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; null ``doc_id``
@@ -36,7 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the method.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-LAMBDA, FALSE_SHARE = 0.1, 0.05
+LAMBDA, FALSE_SHARE = 0.5, 0.05
 CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
 
 _SPANS = "array<struct<start:bigint,end:bigint,value:string,part:string>>"

@@ -54,6 +54,14 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert sum(len(x) for i, x in found.items() if i not in planted) <= 3
 
 
+def test_a_band_without_secrets_has_no_cut(spark):
+    even = [("base64", 5, (i + 0.5) / 200) for i in range(200)]  # as random strings have them
+    thin = [("base64", 4, 0.0)] * 500 + [("base64", 4, 0.12 + 0.01 * i) for i in range(30)] + [("base64", 4, 0.6)]
+    mixed = [("hex", 4, (i + 0.5) / 200) for i in range(200)] + [("hex", 4, 0.0)] * 500
+    rows = spark.createDataFrame([(even + thin + mixed,)], "found array<struct<kind:string,band:int,p:double>>")
+    assert secret_scan.cuts(rows) == {("base64", 5): 0.001, ("hex", 4): 0.001}
+
+
 def test_odd_tables(spark, empty):
     assert secret_scan.scan(empty).collect() == []
     odd = spark.createDataFrame([(None, "token=abcdefghijklmnop", 1)] * 2, "doc_id long, text string, spans long")
