@@ -3,7 +3,7 @@
 A text's non-letters become single spaces, letters are lower-cased, and its UTF-8 bytes give all n-grams of 2 to 4
 bytes, hashed into ``BUCKETS``. Their embeddings are averaged and a linear layer scores the languages. Embeddings and
 layer are trained together in numpy by stochastic gradient descent on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, drawn by hash, whole texts). A part of the sample is held back: on it the softmax temperature is
+(``SAMPLE_ROWS``, and ``LANGUAGE_ROWS`` of each language at least, drawn by hash, whole texts). A part of the sample is held back: on it the softmax temperature is
 fitted and the rejection threshold is set, the confidence that ``REJECT_SHARE`` of its documents fall short of (0.5
 at most).
 
@@ -34,6 +34,8 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Expected number of labelled rows in the training sample.
 SAMPLE_ROWS = 3000
+#: Expected number of rows of each language in the sample at least, or all of its rows.
+LANGUAGE_ROWS = 300
 EPOCHS = 6
 RATE = 0.5
 REJECT_SHARE = 0.001
@@ -138,14 +140,19 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model learned from about ``sample_rows`` rows for which ``learn`` holds and text and language are not null."""
+    """A model learned from about ``sample_rows`` rows for which ``learn`` holds and text and language are not null.
+
+    Languages of which these would be fewer than ``LANGUAGE_ROWS`` add rows up to that number.
+    """
     usable = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = usable.count()
+    counts = {r["own"]: r["count"] for r in usable.groupBy(F.col(lang).cast("string").alias("own")).count().collect()}  # one row a language
+    n = sum(counts.values())
     if not n:
         return fit([])
-    share = min(1.0, sample_rows / n)
-    drawn = F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(1 << 50)) < F.lit(int(share * (1 << 50)))  # fine enough for 10**14 rows
-    picked = usable.where(drawn) if share < 1 else usable
+    drawn = F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(1 << 50))  # fine enough for 10**14 rows
+    shares = {own: min(1.0, max(sample_rows / n, LANGUAGE_ROWS / k)) for own, k in counts.items()}
+    bound = F.create_map(*[F.lit(x) for own, share in shares.items() for x in (own, int(share * (1 << 50)))])
+    picked = usable.where(drawn < F.element_at(bound, F.col(lang).cast("string")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,13 @@ def test_odd_tables(spark, empty):
     assert {r.lang_pred for r in langid.predict(asked, nothing).collect()} == {"und"} and langid.predict(empty, nothing).collect() == []
 
 
+def test_rare_languages_are_learned(spark):
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2000 == 0, "дом и сад ").otherwise("the house and the garden "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2000 == 0, "ru").otherwise("en").alias("lang"))
+    model = langid.train(rows, F.lit(True), sample_rows=100)
+    asked = spark.createDataFrame([(1, "сад и дом"), (2, "the garden")], "doc_id long, text string")
+    assert model.langs == ["en", "ru"] and [r.lang_pred for r in langid.predict(asked, model).orderBy("doc_id").collect()] == ["ru", "en"]
+
+
 def test_batches_do_not_matter(spark):
     model = langid.fit([("en", *langid._gram_counts("the and of that with")), ("fr", *langid._gram_counts("le la et des que")), ("en", *langid._gram_counts("this is")), ("fr", *langid._gram_counts("une est"))])
     texts = ["the and", "", "le la une", "x", "été"]
