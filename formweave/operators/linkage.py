@@ -1,8 +1,8 @@
 """Linking the pairs read in a document to the fields asked for.
 
 Inputs: ``pairs`` (doc_id, pair_idx, label, value), ``targets`` (target_idx, name) and ``synonyms`` (target_idx,
-syn_idx, synonym); targets and synonyms may carry a ``request_id`` that pairs then carry too. Scores are taken once
-for each different (label, synonym); what remains per document is an equi-join on the label.
+syn_idx, synonym), all of one request: no ``request_id`` is read. Scores are taken once for each different (label,
+synonym); what remains per document is an equi-join on the label.
 """
 
 from __future__ import annotations
