@@ -1,20 +1,24 @@
 """Quality rules: word and line counts, and the perplexity of a modified Kneser-Ney n-gram model.
 
-The model is over characters, folded to ``SYMBOLS`` classes (letters without case, one class for digits, one for
-blanks, others by number), of order ``ORDER``: an n-gram packs into an integer, and there are at most SYMBOLS**ORDER
-different ones, which bounds the model whatever the corpus. Tasks count the n-grams of all documents, Spark sums the
-counts, and the driver turns them into sorted arrays of packed n-grams with interpolated probabilities and back-off
-weights (discounts D1, D2, D3+ per order; lower orders from continuation counts). Documents are scored by binary
-search in these arrays, backing off where an n-gram is missing.
-
-Bands: per language (column ``lang``, null being one of its own), over documents that pass the base rules. A mean over n
-characters varies by about 1/sqrt(n), so a document's distance from the median log-perplexity is taken times the square
-root of its characters other than blanks; with the quartiles of these distances, documents below
-``q2 - WIDTH * (q2 - q1)`` or above ``q2 + WIDTH * (q3 - q2)`` are rejected. For languages whose documents are all but
-alike, each side is at least ``LEAST_WIDTH``, in nats at one character.
+The model is over characters as they stand (case, digits and marks are kept), of order ``ORDER``. Every n-gram of every
+document that passes the base rules is counted: tasks count theirs, Spark sums the counts, and Spark joins turn them into
+interpolated probabilities and back-off weights (discounts D1, D2, D3+ per order; lower orders from continuation
+counts). No n-gram is left out, so the model grows with the corpus. It is stored as sorted arrays of hashes with their
+values, in blocks of about ``BLOCK_ENTRIES`` entries; a position of a text looks into one block only, that of the two
+characters before it, so that a block is all that a worker holds. With one block, documents are scored in one pass;
+with more, each block gives partial sums by the hash of the text, and Spark adds them up. All blocks share the entries
+of one and two characters, at most as many as there are pairs of characters.
+
+A document's log-perplexity is taken per word: the text's negative log-probability over its words. Bands: per language
+(column ``lang``, null being one of its own), over documents that pass the base rules. A mean over n words varies by
+about 1/sqrt(n), so a document's distance from the median is taken times the square root of its words; with the
+quartiles of these distances, documents below ``q2 - WIDTH * (q2 - q1)`` or above ``q2 + WIDTH * (q3 - q2)`` are rejected.
+For languages whose documents are all but alike, each side is at least ``LEAST_WIDTH``, in nats at one word.
 
 Defined results: a null text has no words and fails the base rules; repeated rows are judged alike; null ``doc_id``
-and ``lang`` values are kept as they are; an empty table gives an empty table; of clashing names, the operator's win.
+and ``lang`` values are kept as they are; where no document passes the base rules, none is kept; texts are worked on
+``SLICE`` characters at a time, whatever their length; an empty table gives an empty table; of clashing names, the
+operator's win.
 """
 
 from __future__ import annotations
@@ -22,151 +26,85 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formweave.llm.shared import checkpointed, others, slices, with_small
 
-SYMBOLS, ORDER = 64, 4
-BITS = 6
+ORDER = 5
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-WIDTH, LEAST_WIDTH = 5.0, 2.0
+WIDTH, LEAST_WIDTH = 5.0, 5.0
+#: Characters that are worked on at once, different n-grams that a task holds, and entries of a block of the model.
+SLICE, HELD, BLOCK_ENTRIES = 1 << 20, 1 << 20, 1 << 22
 #: Fixed value: characters that count as symbols.
 MARKS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
+#: A text is read as if it followed empty lines.
+_BEFORE = np.full(ORDER - 1, ord("\n"), np.uint32)
+_PROBABILITY, _WEIGHT = 1, 2
 
 
-def _folding() -> np.ndarray:
-    """The class of each code point below 2**16; higher ones are taken modulo that."""
-    table = (np.arange(1 << 16) % 15 + 48).astype(np.uint8)
-    table[:128] = np.arange(128) % 8 + 40
-    for i in range(26):
-        table[[ord("a") + i, ord("A") + i]] = i + 2
-    table[ord("0") : ord("9") + 1] = 28
-    table[[ord(c) for c in MARKS]] = np.arange(len(MARKS)) + 29
-    table[[ord(c) for c in _SPACE]] = 1
-    for upper in range(0xC0, 0xDF):
-        table[upper] = table[upper + 32]
-    return table
+def _mixed(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
+    h = (h ^ np.asarray(x, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
-_FOLD = _folding()
+def hashed(columns: list[np.ndarray], kind: int = _PROBABILITY) -> np.ndarray:
+    """A 64-bit hash of each row of characters (one array a place), apart for every kind and length."""
+    start = _mixed(np.full(len(columns[0]), kind * 16 + len(columns), np.uint64), 0)
+    return reduce(lambda h, x: _mixed(h, x + np.uint64(1)), (c.astype(np.uint64) for c in columns), start)
 
 
-def symbols(text: str) -> np.ndarray:
-    """Classes of a text's characters, runs of blanks as one, after ``ORDER - 1`` start symbols (0)."""
-    x = _FOLD[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") & 0xFFFF]
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != 1) | (x[:-1] != 1)
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), x[keep]])
-
-
-def packed(x: np.ndarray) -> np.ndarray:
-    """The n-grams of order ``ORDER`` of a run of symbols."""
-    out = np.zeros(max(0, len(x) - ORDER + 1), np.uint32)
-    for i in range(ORDER):
-        out <<= np.uint32(BITS)
-        out |= x[i : i + len(out)]
-    return out
-
-
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``gram, n`` over all documents: counted in the tasks, summed by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << (BITS * ORDER), np.int64)
-        used = False
-        for batch in batches:
-            for _, part in slices(v.as_py() for v in batch.column(0)):
-                used = True
-                grams, n = np.unique(np.concatenate([packed(symbols(t)) for t in part]), return_counts=True)
-                held[grams] += n
-        at = np.flatnonzero(held) if used else np.zeros(0, np.int64)
-        for a in range(0, len(at), 1 << 16):
-            own = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(held[own])], names=["gram", "n"])
-
-    return docs.select(F.col(text)).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def block_of(first: np.ndarray, second: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The block of what follows two characters."""
+    return (hashed([first, second], 0) % np.uint64(n_blocks)).astype(np.int64)
 
 
 @dataclass
-class Model:
-    """Per order, from 1: sorted packed n-grams and their probabilities (log), sorted contexts and their back-off weights (log)."""
-
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    back: list[np.ndarray]
-    #: The probability (log) of a symbol that was never seen.
-    unseen: float = -math.log(SYMBOLS)
-
-    def log_probabilities(self, asked: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(asked))
-        left, gram = np.arange(len(asked)), asked.astype(np.uint32)
-        for order in range(ORDER, 0, -1):
-            keys = self.grams[order - 1]
-            at = np.minimum(np.searchsorted(keys, gram), max(len(keys) - 1, 0))
-            hit = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
-            out[left[hit]] += self.logs[order - 1][at[hit]]
-            left, gram = left[~hit], gram[~hit]
-            if not len(left):
-                return out
-            if order > 1:  # the context's weight, where it was seen
-                context, keys = gram >> np.uint32(BITS), self.contexts[order - 1]
-                at = np.minimum(np.searchsorted(keys, context), max(len(keys) - 1, 0))
-                seen = keys[at] == context if len(keys) else np.zeros(len(context), bool)
-                out[left[seen]] += self.back[order - 1][at[seen]]
-                gram = gram & np.uint32((1 << (BITS * (order - 1))) - 1)
-        out[left] += self.unseen
-        return out
-
-    def log_perplexity(self, text: str) -> float:
-        grams = packed(symbols(text))
-        total = sum(float(self.log_probabilities(grams[a : a + (1 << 18)]).sum()) for a in range(0, len(grams), 1 << 18))
-        return -total / len(grams) if len(grams) else 0.0
-
-
-def fit(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """Modified Kneser-Ney from the counts of the highest order."""
-    order = np.argsort(grams)
-    top, n_top = grams[order].astype(np.uint32), counts[order].astype(np.float64)
-    levels = [(top, n_top)]
-    for k in range(ORDER - 1, 0, -1):  # lower orders: in how many different ways an n-gram is continued to the left
-        mask = np.uint32((1 << (BITS * k)) - 1)
-        lower, n = np.unique(levels[0][0] & mask, return_counts=True)
-        levels.insert(0, (lower, n.astype(np.float64)))
-    out = Model([], [], [], [])
-    below: np.ndarray | None = None
-    for k, (keys, n) in enumerate(levels, 1):
-        n1, n2, n3, n4 = ((n == i).sum() for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        discounts = [max(0.05, min(d, i * 0.95)) for i, d in enumerate((1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)), 1)]
-        cut = np.choose(np.minimum(n, 3).astype(int) - 1, discounts)
-        context = keys >> np.uint32(BITS) if k > 1 else np.zeros(len(keys), np.uint32)
-        contexts, inverse = np.unique(context, return_inverse=True)
-        total = np.bincount(inverse, n, len(contexts))
-        weight = np.bincount(inverse, cut, len(contexts)) / total
-        if k == 1:
-            p = (n - cut) / total[inverse] + weight[inverse] / SYMBOLS
-            out.unseen = math.log(weight[0] / SYMBOLS) if len(weight) else out.unseen
-        else:
-            lower = out.grams[k - 2]
-            p = (n - cut) / total[inverse] + weight[inverse] * below[np.searchsorted(lower, keys & np.uint32((1 << (BITS * (k - 1))) - 1))]
-        out.contexts.append(contexts)
-        out.back.append(np.log(weight))
-        out.grams.append(keys)
-        out.logs.append(np.log(p))
-        below = p
-    return out
-
-
-def train(docs: DataFrame, text: str = "text") -> Model:
-    rows = count_ngrams(docs, text).toArrow()  # at most SYMBOLS ** ORDER rows
-    return fit(rows.column("gram").to_numpy(), rows.column("n").to_numpy())
+class Places:
+    """The places of some texts, in runs of about ``SLICE`` characters: places before them stand in ``x`` as well."""
+
+    x: np.ndarray
+    #: Places of ``x`` at which an n-gram ends, and the number of the text that each belongs to.
+    ends: np.ndarray
+    owner: np.ndarray
+
+    def columns(self, order: int, at: np.ndarray) -> list[np.ndarray]:
+        return [self.x[at - (order - 1 - i)] for i in range(order)]
+
+
+def places(texts: list[str]) -> Iterator[Places]:
+    runs: list[np.ndarray] = []
+    size, first = 0, 0
+
+    def made(until: int) -> Places:
+        lengths = np.array([len(r) - (ORDER - 1) for r in runs], np.int64)
+        starts = np.cumsum(lengths + ORDER - 1) - lengths
+        owner = np.repeat(np.arange(first, until), lengths)
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return Places(np.concatenate(runs), np.repeat(starts, lengths) + inside, owner)
+
+    for i, t in enumerate(texts):
+        whole = np.concatenate([_BEFORE, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")])
+        if runs and size + len(whole) > SLICE:
+            yield made(i)
+            runs, size, first = [], 0, i
+        if len(whole) <= SLICE:
+            runs.append(whole)
+            size += len(whole)
+            continue
+        for a in range(0, len(whole) - (ORDER - 1), SLICE):  # a long text alone, piece by piece
+            runs, first = [whole[a : a + SLICE + ORDER - 1]], i
+            yield made(i + 1)
+        runs, size, first = [], 0, i + 1
+    if runs:
+        yield made(len(texts))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -201,32 +139,215 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(data) - len(data.translate(None, MARKS.encode())), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def fails(counts: tuple[int, int, int, int, int]) -> bool:
+    return counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
+
+
+def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``gram, n`` over all documents that pass the base rules: counted in the tasks, summed by Spark."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)), np.concatenate([p[2] for p in parts])[first]
+
+    def rows(n: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(n), 1 << 16):
+            own = grams[a : a + (1 << 16)]
+            joined = own.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            shown = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
+            yield pa.RecordBatch.from_arrays([pa.array(shown, pa.string()), pa.array(n[a : a + len(own)].astype(np.int64))], names=["gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for _, part in slices(v.as_py() for v in batch.column(0)):
+                for p in places([t for t in part if not fails(base_counts(t))]):
+                    keys, first, n = np.unique(hashed(p.columns(ORDER, p.ends)), return_index=True, return_counts=True)
+                    held = [merged([*held, (keys, n.astype(np.float64), np.stack(p.columns(ORDER, p.ends[first]), axis=1))])]
+                    if len(held[0][0]) > HELD:
+                        yield from rows(*held.pop()[1:])
+        for own in held:
+            yield from rows(*own[1:])
+
+    return docs.select(F.col(text)).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _cut(discounts: list[float]) -> Column:
+    return F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
+
+
+def _discounts(levels: dict[int, DataFrame]) -> dict[int, list[float]]:
+    """Per order: D1, D2 and D3+ from the numbers of n-grams counted once to four times."""
+    counts = [df.agg(F.lit(k).alias("k"), *(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))) for k, df in levels.items()]
+    out = {}
+    for k, n1, n2, n3, n4 in reduce(DataFrame.unionAll, counts).collect():
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        raw = 1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)
+        out[k] = [max(0.05, min(d, i * 0.95)) for i, d in enumerate(raw, 1)]
+    return out
+
+
+def entries(counts: DataFrame) -> tuple[DataFrame, float]:
+    """``kind, chars, value`` of a model, and the log-probability of a character that was never seen.
+
+    Entries are the log-probabilities of n-grams of each order and the log-weights of their contexts. Tables of the
+    lower orders come from the next higher one; contexts and shorter n-grams are met by equi-joins.
+    """
+    levels = {ORDER: checkpointed(counts)}
+    for k in range(ORDER - 1, 0, -1):  # in how many different ways an n-gram is continued to the left
+        levels[k] = checkpointed(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+    discounts = _discounts(levels)
+    cut = _cut(discounts[1])
+    total, saved, n_chars = levels[1].agg(F.sum("n"), F.sum(cut), F.count("*")).first()
+    unseen = (saved / total if total else 1.0) / ((n_chars or 0) + 1)
+    below = levels[1].select("gram", ((F.col("n") - cut) / F.lit(total or 1) + F.lit(unseen)).alias("p"))
+    out = [below.select(F.lit(_PROBABILITY).alias("kind"), F.col("gram").alias("chars"), F.log("p").alias("value"))]
+    for k in range(2, ORDER + 1):
+        cut = _cut(discounts[k])
+        context = F.substring("gram", 1, k - 1)
+        weights = checkpointed(levels[k].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight")))
+        rows = levels[k].select("gram", "n", context.alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        rows = rows.join(weights, "context").join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        below = checkpointed(rows.select("gram", ((F.col("n") - cut) / F.col("total") + F.col("weight") * F.col("below")).alias("p")))
+        out.append(below.select(F.lit(_PROBABILITY).alias("kind"), F.col("gram").alias("chars"), F.log("p").alias("value")))
+        out.append(weights.select(F.lit(_WEIGHT).alias("kind"), F.col("context").alias("chars"), F.log("weight").alias("value")))
+    return reduce(DataFrame.unionByName, out), math.log(unseen)
+
+
+@dataclass
+class Block:
+    """Sorted hashes and their values: one of ``n_blocks`` blocks of a model."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    unseen: float
+    number: int = 0
+    n_blocks: int = 1
+
+    def _found(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, asked), max(len(self.keys) - 1, 0))
+        return (self.keys[at] == asked, self.values[at]) if len(self.keys) else (np.zeros(len(asked), bool), np.zeros(len(asked)))
+
+    def log_probabilities(self, p: Places, ends: np.ndarray) -> np.ndarray:
+        """Of the characters at ``ends``, backing off where an n-gram is missing."""
+        out, left = np.zeros(len(ends)), np.arange(len(ends))
+        for order in range(ORDER, 0, -1):
+            hit, value = self._found(hashed(p.columns(order, ends[left])))
+            out[left[hit]] += value[hit]
+            left = left[~hit]
+            if not len(left):
+                return out
+            if order > 1:  # the context's weight, where it was seen
+                seen, value = self._found(hashed(p.columns(order, ends[left])[:-1], _WEIGHT))
+                out[left[seen]] += value[seen]
+        out[left] += self.unseen
+        return out
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """Each text's log-probability, over the places that belong to this block."""
+        out = np.zeros(len(texts))
+        for p in places(texts):
+            ends, owner = p.ends, p.owner
+            if self.n_blocks > 1:
+                mine = block_of(p.x[ends - 2], p.x[ends - 1], self.n_blocks) == self.number
+                ends, owner = ends[mine], owner[mine]
+            _, first, inverse = np.unique(hashed(p.columns(ORDER, ends)), return_index=True, return_inverse=True)
+            logs = self.log_probabilities(p, ends[first])[inverse]
+            out += np.bincount(owner, logs, len(texts))
+        return out
+
+
+@dataclass
+class Model:
+    """A table ``block, key, value`` (block -1: in all), for ``n_blocks`` blocks."""
+
+    rows: DataFrame
+    unseen: float
+    n_blocks: int
+
+    def block(self, number: int) -> Block:
+        """A block's arrays; its size is bounded by ``BLOCK_ENTRIES`` on average."""
+        own = self.rows.where(F.col("block").isin(number, -1)).select("key", "value").toArrow()
+        keys, values = own.column("key").to_numpy().view(np.uint64), own.column("value").to_numpy()
+        order = np.argsort(keys)
+        return Block(keys[order], values[order], self.unseen, number, self.n_blocks)
+
+
+def train(docs: DataFrame, text: str = "text", block_entries: int = BLOCK_ENTRIES) -> Model:
+    found, unseen = entries(count_ngrams(docs, text))
+    found = checkpointed(found)
+    n_blocks = max(1, -(-found.count() // block_entries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, value = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            chars = np.array(batch.column(1).to_pylist(), object)
+            size = np.fromiter(map(len, chars), np.int64, len(chars))
+            for a, n in sorted(set(zip(kind.tolist(), size.tolist(), strict=True))):
+                own = np.flatnonzero((kind == a) & (size == n))
+                x = np.frombuffer("".join(chars[own]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+                columns = [x[:, i] for i in range(n)]
+                before = columns if a == _WEIGHT else columns[:-1]
+                block = block_of(before[-2], before[-1], n_blocks) if len(before) > 1 else np.full(len(own), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(hashed(columns, a).view(np.int64)), pa.array(value[own].astype(np.float32))], names=["block", "key", "value"])
+
+    return Model(checkpointed(found.mapInArrow(run, "block int, key long, value float")), unseen, n_blocks)
+
+
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _summed(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """``__h0, __h1, __sum``: the log-probability of every different text, block by block."""
+    parts = []
+    for number in range(model.n_blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(model.block(number))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, part in slices(v.as_py() for v in batch.column(0)):
+                    h = _text_hashes(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(shared.value.sums(part))], names=["__h0", "__h1", "__sum"])
+
+        parts.append(checkpointed(docs.select(F.col(text)).mapInArrow(run, "__h0 long, __h1 long, __sum double").groupBy("__h0", "__h1").agg(F.max("__sum").alias("__sum"))))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts).groupBy("__h0", "__h1").agg(F.sum("__sum").alias("__sum"))
+
+
+def _text_hashes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), "<i8").reshape(-1, 2).copy()
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and ``log_perplexity`` (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see the module's head
+    """``docs`` without its text, with the base counts, ``base_failed`` and ``log_perplexity`` (null without words)."""
     made = (*_COUNTS, "base_failed", "log_perplexity")
     keep = others(docs, *made, "kept")
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in _COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("log_perplexity", T.DoubleType())])
+    rest = [c for c in keep if c != text]
+    one = docs.sparkSession.sparkContext.broadcast(model.block(0)) if model.n_blocks == 1 else None
+    found = ("__sum",) if one else ("__h0", "__h1")
+    schema = T.StructType(
+        [docs.schema[c] for c in rest] + [T.StructField(c, T.LongType()) for c in _COUNTS] + [T.StructField("base_failed", T.BooleanType())]
+        + [T.StructField(c, T.DoubleType() if one else T.LongType()) for c in found]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for start, part in slices(v.as_py() for v in batch.column(keep.index(text))):
-                rows = [base_counts(t) for t in part]
-                failed = [r[0] < LEAST_WORDS or 100 * r[4] > MOST_REPEATED * r[0] for r in rows]
-                logs = [round(m.log_perplexity(t), 6) if r[0] else None for t, r in zip(part, rows, strict=True)]
-                cut = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*cut.columns, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(failed), pa.array(logs, pa.float64())], names=[*keep, *made])
+                counts = [base_counts(t) for t in part]
+                more = [pa.array(one.value.sums(part))] if one else [pa.array(x) for x in _text_hashes(part).T.copy()]
+                own = [batch.column(keep.index(c)).slice(start, len(part)) for c in rest]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(list(map(fails, counts))), *more], names=schema.names)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    rows = docs.select(*keep).mapInArrow(run, schema)
+    if not one:
+        rows = rows.join(_summed(docs, model, text), ["__h0", "__h1"])
+    per_word = F.when(F.col("n_words") > 0, F.round(-F.col("__sum") / F.col("n_words"), 6))
+    return rows.withColumn("log_perplexity", per_word).select(*rest, *made)
 
 
 def _distance() -> Column:
-    """The distance from the median log-perplexity ``__mid``, in nats at one character."""
-    return (F.col("log_perplexity") - F.col("__mid")) * F.sqrt(F.col("word_chars").cast("double"))
+    """The distance from the median log-perplexity ``__mid``, in nats at one word."""
+    return (F.col("log_perplexity") - F.col("__mid")) * F.sqrt(F.col("n_words").cast("double"))
 
 
 def bands(scored: DataFrame, lang: str = "lang") -> DataFrame:
@@ -239,9 +360,9 @@ def bands(scored: DataFrame, lang: str = "lang") -> DataFrame:
     return rows.select("__of", "__mid", (q2 - F.greatest(WIDTH * (q2 - q1), F.lit(LEAST_WIDTH))).alias("__low"), (q2 + F.greatest(WIDTH * (q3 - q2), F.lit(LEAST_WIDTH))).alias("__high"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """``docs`` without its text, with the base counts, ``base_failed``, ``log_perplexity`` and ``kept``."""
-    scored = checkpointed(score(docs, train(docs, text), text).drop(text))
-    rows = with_small(scored, checkpointed(bands(scored.select(F.col(lang), "base_failed", "log_perplexity", "word_chars"), lang)), lang, "__of")
+    scored = checkpointed(score(docs, train(docs, text, block_entries), text))
+    rows = with_small(scored, checkpointed(bands(scored.select(F.col(lang), "base_failed", "log_perplexity", "n_words"), lang)), lang, "__of")
     kept = ~F.col("base_failed") & F.coalesce(_distance().between(F.col("__low"), F.col("__high")), F.lit(False))
     return rows.withColumn("kept", kept).drop("__of", "__mid", "__low", "__high")

@@ -27,14 +27,80 @@ def test_counts_against_brute_force(docs):
         assert quality.base_counts(t or "") == brute(t), t
 
 
-def test_model_sums_to_one():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([np.zeros(3, np.uint8), rng.choice([1, 2, 3, 4, 9], 4000, p=[0.4, 0.3, 0.15, 0.1, 0.05]).astype(np.uint8)])
-    grams, n = np.unique(quality.packed(x), return_counts=True)
-    model = quality.fit(grams, n)
-    for context in [(0, 0, 0), (1, 2, 3), (4, 9, 9), (7, 7, 7), (1, 1, 60)]:
-        asked = np.array([(((context[0] << 6) | context[1]) << 6 | context[2]) << 6 | s for s in range(64)], np.uint32)
-        assert math.isclose(np.exp(model.log_probabilities(asked)).sum(), 1, rel_tol=1e-6)
+def naive_model(texts):
+    """Modified Kneser-Ney by dictionaries of strings: ``p(character, four characters before it)``."""
+    order = quality.ORDER
+    levels = {order: Counter()}
+    for t in texts:
+        padded = "\n" * (order - 1) + t
+        levels[order].update(padded[i : i + order] for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts, contexts = {}, {}
+    for k, level in levels.items():
+        n1, n2, n3, n4 = (sum(v == i for v in level.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        raw = (1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1))
+        cuts[k] = [max(0.05, min(d, i * 0.95)) for i, d in enumerate(raw, 1)]
+        contexts[k] = {}
+        for g, n in level.items():
+            total, saved = contexts[k].get(g[:-1], (0, 0.0))
+            contexts[k][g[:-1]] = total + n, saved + cuts[k][min(n, 3) - 1]
+
+    def p(c, before):
+        k = len(before) + 1
+        if before and before not in contexts[k]:
+            return p(c, before[1:])
+        total, saved = contexts[k][before]
+        n = levels[k].get(before + c, 0)
+        below = p(c, before[1:]) if before else 1 / (len(levels[1]) + 1)
+        return (n - cuts[k][min(n, 3) - 1] if n else 0) / total + saved / total * below
+
+    return p
+
+
+def naive_log_probability(p, text):
+    padded = "\n" * (quality.ORDER - 1) + text
+    return sum(math.log(p(padded[i + quality.ORDER - 1], padded[i : i + quality.ORDER - 1])) for i in range(len(text)))
+
+
+def test_model_against_a_naive_one(spark, docs, monkeypatch):
+    texts = [r.text or "" for r in docs.collect()]
+    p = naive_model([t for t in texts if not quality.fails(brute(t))])
+    asked = [*texts[:25], "", "never seen: \u4e2d\u6587 \U0001f600 ÄÖ", "x" * 3000, max(texts, key=len)]
+    expected = [naive_log_probability(p, t) for t in asked]
+    whole = quality.train(docs).block(0).sums(asked)
+    assert np.allclose(whole, expected, rtol=1e-5, atol=1e-4), [(a, b, t[:30]) for a, b, t in zip(whole, expected, asked, strict=True) if abs(a - b) > 1e-3]
+    split = quality.train(docs, block_entries=800)
+    assert split.n_blocks > 2
+    monkeypatch.setattr(quality, "SLICE", 1 << 10)  # and texts that are longer than a slice
+    monkeypatch.setattr(quality, "HELD", 1 << 9)
+    assert np.allclose(sum(split.block(i).sums(asked) for i in range(split.n_blocks)), expected, rtol=1e-5, atol=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    p = naive_model(["the cat sat on the mat and the dog", "a cat and a dog on a mat"])
+    chars = sorted(set("the cat sat on the mat and the dog")) + ["?"]
+    for before in ("the ", "zzzz", "n th", "\n\n\n\n"):
+        assert math.isclose(sum(p(c, before) for c in chars), 1, rel_tol=1e-9)
+
+
+def test_blocks_give_the_same_verdicts(spark, docs):
+    one, more = ({(r.doc_id, r.n_words): (r.kept, round(r.log_perplexity or 0, 4)) for r in quality.judge(docs, block_entries=n).collect()} for n in (1 << 22, 900))
+    assert one == more
+
+
+def test_bands_against_brute_force(spark, docs):
+    rows = [r.asDict() for r in quality.judge(docs).collect()]
+    lower = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang]
+        good = [r for r in own if not r["base_failed"]]
+        mid = lower([r["log_perplexity"] for r in good], 0.5)
+        far = lambda r: (r["log_perplexity"] - mid) * math.sqrt(r["n_words"])  # noqa: E731, B023
+        q1, q2, q3 = (lower([far(r) for r in good], q) for q in (0.25, 0.5, 0.75))
+        low, high = q2 - max(quality.WIDTH * (q2 - q1), quality.LEAST_WIDTH), q2 + max(quality.WIDTH * (q3 - q2), quality.LEAST_WIDTH)
+        assert all(r["kept"] == (not r["base_failed"] and low <= far(r) <= high) for r in own)
 
 
 def test_gibberish_is_rejected_and_text_kept(spark, docs):
