@@ -46,19 +46,33 @@ SLICE, HELD, BLOCK_ENTRIES = 1 << 20, 1 << 20, 1 << 22
 MARKS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
 #: A text is read as if it followed empty lines.
-_BEFORE = np.full(ORDER - 1, ord("\n"), np.uint32)
+_BEFORE = "\n" * (ORDER - 1)
 _PROBABILITY, _WEIGHT = 1, 2
 
 
-def _mixed(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
-    h = (h ^ np.asarray(x, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(32))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """``h`` with its bits spread, in place."""
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def hashed(columns: list[np.ndarray], kind: int = _PROBABILITY) -> np.ndarray:
     """A 64-bit hash of each row of characters (one array a place), apart for every kind and length."""
-    start = _mixed(np.full(len(columns[0]), kind * 16 + len(columns), np.uint64), 0)
-    return reduce(lambda h, x: _mixed(h, x + np.uint64(1)), (c.astype(np.uint64) for c in columns), start)
+    h = _mixed(np.full(len(columns[0]), kind * 16 + len(columns), np.uint64))
+    for c in columns:
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += c
+    return _mixed(h)
+
+
+def _different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ``h``, and where in it each different value starts and ends."""
+    order = np.argsort(h)
+    ranked = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return order, starts, np.append(starts[1:], len(h))
 
 
 def block_of(first: np.ndarray, second: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -68,43 +82,61 @@ def block_of(first: np.ndarray, second: np.ndarray, n_blocks: int) -> np.ndarray
 
 @dataclass
 class Places:
-    """The places of some texts, in runs of about ``SLICE`` characters: places before them stand in ``x`` as well."""
+    """The places of some texts: their characters, each text behind empty lines, as windows of ``ORDER`` characters."""
 
     x: np.ndarray
-    #: Places of ``x`` at which an n-gram ends, and the number of the text that each belongs to.
-    ends: np.ndarray
+    #: The windows that end within a text, and the number of the text that each of these belongs to.
+    inside: np.ndarray
     owner: np.ndarray
 
-    def columns(self, order: int, at: np.ndarray) -> list[np.ndarray]:
-        return [self.x[at - (order - 1 - i)] for i in range(order)]
+    def columns(self, order: int, windows: np.ndarray | None = None) -> list[np.ndarray]:
+        """The last ``order`` characters of the windows, one array a place."""
+        n = len(self.x) - ORDER + 1
+        own = [self.x[i : i + n] for i in range(ORDER - order, ORDER)]
+        return [c[self.inside] for c in own] if windows is None else [c[windows] for c in own]
 
+    def hashes(self) -> np.ndarray:
+        n = len(self.x) - ORDER + 1
+        return hashed([self.x[i : i + n] for i in range(ORDER)])[self.inside]
+
+    def windows(self) -> np.ndarray:
+        return np.flatnonzero(self.inside)
 
-def places(texts: list[str]) -> Iterator[Places]:
-    runs: list[np.ndarray] = []
-    size, first = 0, 0
 
-    def made(until: int) -> Places:
-        lengths = np.array([len(r) - (ORDER - 1) for r in runs], np.int64)
-        starts = np.cumsum(lengths + ORDER - 1) - lengths
-        owner = np.repeat(np.arange(first, until), lengths)
-        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return Places(np.concatenate(runs), np.repeat(starts, lengths) + inside, owner)
+def _coded(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
+
+def places(texts: list[str]) -> Iterator[Places]:
+    """Runs of whole texts with about ``SLICE`` characters; a longer text comes alone, piece by piece."""
+
+    def made(run: list[str], first: int) -> Places:
+        lengths = np.fromiter(map(len, run), np.int64, len(run))
+        x = _coded(_BEFORE + _BEFORE.join(run))
+        inside = np.ones(len(x) - ORDER + 1, bool)
+        between = np.cumsum(lengths[:-1] + ORDER - 1) - (ORDER - 1)
+        for i in range(ORDER - 1):
+            inside[between + i] = False
+        return Places(x, inside, np.repeat(np.arange(first, first + len(run)), lengths))
+
+    run: list[str] = []
+    size = 0
     for i, t in enumerate(texts):
-        whole = np.concatenate([_BEFORE, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")])
-        if runs and size + len(whole) > SLICE:
-            yield made(i)
-            runs, size, first = [], 0, i
-        if len(whole) <= SLICE:
-            runs.append(whole)
-            size += len(whole)
+        if run and size + len(t) > SLICE:
+            yield made(run, i - len(run))
+            run, size = [], 0
+        if len(t) <= SLICE:
+            run.append(t)
+            size += len(t)
             continue
-        for a in range(0, len(whole) - (ORDER - 1), SLICE):  # a long text alone, piece by piece
-            runs, first = [whole[a : a + SLICE + ORDER - 1]], i
-            yield made(i + 1)
-        runs, size, first = [], 0, i + 1
-    if runs:
-        yield made(len(texts))
+        x = _coded(_BEFORE + t)
+        for a in range(0, len(t), SLICE):
+            part = x[a : a + SLICE + ORDER - 1]
+            n = len(part) - ORDER + 1
+            yield Places(part, np.ones(n, bool), np.full(n, i))
+        run, size = [], 0
+    if run:
+        yield made(run, len(texts) - len(run))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -112,18 +144,16 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-    ids *= np.uint64(0x9E3779B97F4A7C15)
-    ids ^= ids >> np.uint64(29)
+    ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
     code = np.zeros(n, np.uint64)
     for i in range(window):
-        code = (code ^ ids[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
-        code ^= code >> np.uint64(32)
+        code *= np.uint64(0x9E3779B97F4A7C15)
+        code += ids[i : i + n]
+    ranked = np.sort(code)
+    if not (ranked[1:] == ranked[:-1]).any():
+        return 0
     _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
     start = times[inverse] > 1
-    if not start.any():
-        return 0
     edge = np.zeros(len(words) + 1, np.int64)
     edge[:n] += start
     edge[window : window + n] -= start
@@ -147,23 +177,27 @@ def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """``gram, n`` over all documents that pass the base rules: counted in the tasks, summed by Spark."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)), np.concatenate([p[2] for p in parts])[first]
+        keys, n, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, starts, _ = _different(keys)
+        first = order[starts]
+        return keys[first], np.add.reduceat(n[order], starts) if len(starts) else n, grams[first]
 
     def rows(n: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(n), 1 << 16):
             own = grams[a : a + (1 << 16)]
             joined = own.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
             shown = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
-            yield pa.RecordBatch.from_arrays([pa.array(shown, pa.string()), pa.array(n[a : a + len(own)].astype(np.int64))], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shown, pa.string()), pa.array(n[a : a + len(own)])], names=["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, part in slices(v.as_py() for v in batch.column(0)):
                 for p in places([t for t in part if not fails(base_counts(t))]):
-                    keys, first, n = np.unique(hashed(p.columns(ORDER, p.ends)), return_index=True, return_counts=True)
-                    held = [merged([*held, (keys, n.astype(np.float64), np.stack(p.columns(ORDER, p.ends[first]), axis=1))])]
+                    h, windows = p.hashes(), p.windows()
+                    order, starts, ends = _different(h)
+                    first = order[starts]
+                    held = [merged([*held, (h[first], ends - starts, np.stack(p.columns(ORDER, windows[first]), axis=1))])]
                     if len(held[0][0]) > HELD:
                         yield from rows(*held.pop()[1:])
         for own in held:
@@ -228,17 +262,17 @@ class Block:
         at = np.minimum(np.searchsorted(self.keys, asked), max(len(self.keys) - 1, 0))
         return (self.keys[at] == asked, self.values[at]) if len(self.keys) else (np.zeros(len(asked), bool), np.zeros(len(asked)))
 
-    def log_probabilities(self, p: Places, ends: np.ndarray) -> np.ndarray:
-        """Of the characters at ``ends``, backing off where an n-gram is missing."""
-        out, left = np.zeros(len(ends)), np.arange(len(ends))
+    def log_probabilities(self, p: Places, windows: np.ndarray) -> np.ndarray:
+        """Of the last characters of windows, backing off where an n-gram is missing."""
+        out, left = np.zeros(len(windows)), np.arange(len(windows))
         for order in range(ORDER, 0, -1):
-            hit, value = self._found(hashed(p.columns(order, ends[left])))
+            hit, value = self._found(hashed(p.columns(order, windows[left])))
             out[left[hit]] += value[hit]
             left = left[~hit]
             if not len(left):
                 return out
             if order > 1:  # the context's weight, where it was seen
-                seen, value = self._found(hashed(p.columns(order, ends[left])[:-1], _WEIGHT))
+                seen, value = self._found(hashed(p.columns(order, windows[left])[:-1], _WEIGHT))
                 out[left[seen]] += value[seen]
         out[left] += self.unseen
         return out
@@ -247,12 +281,14 @@ class Block:
         """Each text's log-probability, over the places that belong to this block."""
         out = np.zeros(len(texts))
         for p in places(texts):
-            ends, owner = p.ends, p.owner
+            h, windows, owner = p.hashes(), p.windows(), p.owner
             if self.n_blocks > 1:
-                mine = block_of(p.x[ends - 2], p.x[ends - 1], self.n_blocks) == self.number
-                ends, owner = ends[mine], owner[mine]
-            _, first, inverse = np.unique(hashed(p.columns(ORDER, ends)), return_index=True, return_inverse=True)
-            logs = self.log_probabilities(p, ends[first])[inverse]
+                before = p.columns(3)
+                mine = block_of(before[0], before[1], self.n_blocks) == self.number
+                h, windows, owner = h[mine], windows[mine], owner[mine]
+            order, starts, ends = _different(h)
+            logs = np.empty(len(h))
+            logs[order] = np.repeat(self.log_probabilities(p, windows[order[starts]]), ends - starts)
             out += np.bincount(owner, logs, len(texts))
         return out
 
