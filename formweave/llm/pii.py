@@ -1,31 +1,39 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent. DataFrame functions only.
 
-Detected entities (e-mail addresses, IBANs, card and phone numbers, social security numbers, IPv4 addresses, and names
-behind a title) are replaced in the text. An entity's norm (digits only, lower case, ...) is hashed with a secret key,
-so that the same entity gets the same surrogate in every document and format:
+Detected entities (e-mail addresses, IBANs, card and phone numbers, social security numbers, IPv4 addresses, and names)
+are replaced in the text. An entity's norm (digits only, lower case, ...) is hashed with a secret key of the caller, so
+that the same entity gets the same surrogate in every document and format:
 
 * digits of a number stay as many, and fall into the places of the original's format; card numbers keep their first
   digit and pass the Luhn check if the original does; IBANs keep their country and pass the modulo-97 check if the
   original does; phone numbers keep a country code and the line prefix 555;
 * e-mail local parts and domains are replaced apart, so that people of one domain share one; IPv4 octets stay octets;
-* names keep title, gender (as the title tells it), script (Latin, Cyrillic or Greek) and the number of words; later
-  attempts have longer family names, so that names cannot run out.
+* names are found behind titles. The words of a document's titled names are its name words, and each of them is
+  replaced wherever it stands in that document as a word with a capital, with this, another or no title: whoever is
+  named with a title once is nowhere left in clear, and shares the surrogate. The last word of a name is a family
+  name; the words before it are given names, whose gender is that of the first titled name with them that tells one.
+  A word that is the last of a longer name is a family name throughout the document. Surrogates keep the role, the
+  gender, the script (Latin, Cyrillic or Greek) and capitals. Later attempts are longer, so that names cannot run out.
 
 Collision check: all different entities are given a surrogate; where two share one, or where a surrogate is itself an
 entity of the corpus, all but the first are tried again with the next attempt number, round after round until all
-differ. Entities are detected once for this, into a table by the text's hash. From half the attempts on, which only formats with few free places reach, a surrogate may be another entity of
+differ. From half the attempts on, which only formats with few free places reach, a surrogate may be another entity of
 the corpus, though never the entity itself. Phone and social security numbers left after ``ATTEMPTS`` are matched with
 the free places of their formats by rank in the order of keyed hashes, those that are no entities first; the few that
 would get themselves pass their places round, so that full formats are permuted. All other kinds have far more places
-than a corpus has entities, and go on until all differ. The few such exceptions are joined back to the texts that hold them (by the text's hash); all other surrogates
-are computed in place, without a shuffle of texts.
+than a corpus has entities, and go on until all differ.
+
+Texts are searched once: the text between entities and the entities are kept in a table, from which the different
+entities, the few exceptions of each row and the new texts are taken without a shuffle of texts.
 
 Defined results: a null text stays null with no entities; repeated rows get equal results; null ``doc_id`` values pass
-through; an empty table gives an empty table; of clashing names, ``n_entities`` and the new text replace the input's.
+through; words of a name that follow each other count as one entity; an empty table gives an empty table; of clashing
+names, ``n_entities`` and the new text replace the input's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -34,7 +42,6 @@ from pyspark.sql import functions as F
 
 from formweave.llm.shared import SMALL_ROWS, checkpointed, others
 
-KEY = "surrogate-key"
 ATTEMPTS = 40
 #: Kinds whose formats can be full.
 RANKED = ("phone", "ssn")
@@ -47,17 +54,21 @@ PATTERNS = {
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Mlle|Herr|Frau|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? \p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}",
 }
-EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_EMAIL, _NUMBERS = PATTERNS["email"], "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "email")
+#: Titles, and what a name word is.
+TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Mlle|Herr|Frau|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)"
+WORD = r"\p{Lu}\p{L}{0,40}+(?:['-](?![sS](?!\p{L}))\p{L}{1,40}+){0,4}(?!\p{L})"
+NAME = rf"(?=[MDPHFSГΚ])(?<!\p{{L}}){TITLE}\.? {WORD}(?: {WORD}){{0,2}}"
+_CAPITAL = rf"(?<!\p{{L}}){WORD}"
 #: Titles that tell a gender.
-FEMALE = r"^(?:Mrs|Ms|Miss|Mme|Mlle|Frau|Señora|Sra|Г-жа|Κα)\b"
-MALE = r"^(?:Mr|Herr|Señor|Sr|Г-н|Κος)\b"
-#: Given names by script and gender, and syllables of which family names are made.
-GIVEN = {
-    "latin": {"f": ["Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "Nina", "Paula"], "m": ["Adam", "Daniel", "David", "Felix", "Lukas", "Martin", "Paul", "Victor"]},
-    "cyrillic": {"f": ["Анна", "Вера", "Дарья", "Елена", "Мария", "Нина", "Ольга", "Софья"], "m": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Максим", "Олег", "Павел"]},
-    "greek": {"f": ["Άννα", "Ελένη", "Ζωή", "Ηρώ", "Κλειώ", "Μαρία", "Νίκη", "Σοφία"], "m": ["Αλέξης", "Γιάννης", "Δημήτρης", "Θωμάς", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος"]},
+FEMALE = r"^(?:Mrs|Ms|Miss|Mme|Mlle|Frau|Señora|Sra|Г-жа|Κα)[. ]"
+MALE = r"^(?:Mr|Herr|Señor|Sr|Г-н|Κος)[. ]"
+#: Endings of given names by script and gender, and syllables of which names are made.
+ENDINGS = {
+    "latin": {"f": ["na", "lia", "ra", "la", "ria", "sa", "nia", "ta"], "m": ["n", "r", "s", "ron", "tin", "vid", "mir", "ton"]},
+    "cyrillic": {"f": ["на", "ва", "ла", "ра", "ня", "да", "та", "са"], "m": ["н", "р", "с", "в", "лав", "мир", "тон", "рис"]},
+    "greek": {"f": ["να", "λη", "ρα", "σω", "νη", "λια", "ρω", "τα"], "m": ["νος", "λης", "ρος", "σος", "ντης", "μος", "τος", "κης"]},
 }
 SYLLABLES = {
     "latin": "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so".split(),
@@ -71,16 +82,13 @@ def _pick(values: list[str], number: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The first kind whose pattern the whole entity is."""
-    tests = list(PATTERNS.items())
-    return reduce(lambda acc, x: acc.when(entity.rlike(rf"\A(?:{x[1]})\z"), x[0]), tests[1:], F.when(entity.rlike(rf"\A(?:{tests[0][1]})\z"), tests[0][0])).otherwise("name")
+    """The first kind whose pattern the whole entity is, or null."""
+    return reduce(lambda acc, x: acc.when(entity.rlike(rf"\A(?:{x[1]})\z"), x[0]), PATTERNS.items(), F.when(F.lit(False), ""))
 
 
 def norm_of(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    name = F.lower(F.regexp_replace(entity, r"^[^ ]+ ", ""))
-    gender = F.when(entity.rlike(FEMALE), "f").when(entity.rlike(MALE), "m").otherwise("")
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind == "name", F.concat(gender, F.lit(":"), name)).otherwise(F.lower(entity))
+    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(F.lower(entity))
 
 
 def _hash(key: str, what: Column, attempt: Column) -> Column:
@@ -116,7 +124,7 @@ def _checked_iban(norm: Column, country: Column, body: Column) -> Column:
     return F.concat(country, F.when(valid, check).otherwise(F.substring(body, 1, 2)), account)
 
 
-def surrogate_norm(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate_norm(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The norm of an entity's surrogate at an attempt."""
     h = _hash(key, F.concat_ws(":", kind, norm), attempt)
     stream, n = _digits(h), F.length(norm)
@@ -133,16 +141,20 @@ def surrogate_norm(kind: Column, norm: Column, attempt: Column, key: str = KEY)
     email = F.concat(letters, F.lit("@"), F.translate(F.substring(domain_hash, 1, 8), "0123456789", "qrstuvwxyz"), F.lit(".example.org"))
     ip = F.concat_ws(".", *((_number(h, 1 + 7 * i) % 254 + 1).cast("string") for i in range(4)))
     bare, gender = F.substring_index(norm, ":", -1), F.substring_index(norm, ":", 1)
-    words, more = F.size(F.split(bare, " ")), _hash(key, F.concat(F.lit("longer:"), norm), attempt)
+    more = _hash(key, F.concat(F.lit("longer:"), norm), attempt)
 
-    def named(script: str) -> Column:
-        given = F.when((gender == "f") | ((gender == "") & (_number(h, 1) % 2 == 0)), _pick(GIVEN[script]["f"], _number(h, 8))).otherwise(_pick(GIVEN[script]["m"], _number(h, 8)))
+    def syllables(script: str, n: int) -> Column:
         longer = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 8).cast("int")), lambda i: _pick(SYLLABLES[script], F.conv(F.substring(more, i * 7 + 1, F.lit(7)), 16, 10).cast("long"))), "")
-        family = F.concat(*(_pick(SYLLABLES[script], _number(h, 15 + 7 * i)) for i in range(4)), F.when(attempt > 0, longer).otherwise(""))
-        middle = F.concat(*(_pick(SYLLABLES[script], _number(h, 43 + 7 * i)) for i in range(2)))
-        return F.lower(F.when(words == 1, family).when(words == 2, F.concat_ws(" ", given, family)).otherwise(F.concat_ws(" ", given, middle, family)))
+        return F.concat(*(_pick(SYLLABLES[script], _number(h, 15 + 7 * i)) for i in range(n)), F.when(attempt > 0, longer).otherwise(""))
+
+    def given(script: str) -> Column:
+        female = (gender == "f") | ((gender == "") & (_number(h, 1) % 2 == 0))
+        return F.concat(syllables(script, 2), F.when(female, _pick(ENDINGS[script]["f"], _number(h, 8))).otherwise(_pick(ENDINGS[script]["m"], _number(h, 8))))
+
+    def named(made: Callable[[str], Column]) -> Column:
+        return F.when(bare.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(bare.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
-    name = F.concat(gender, F.lit(":"), F.when(bare.rlike(r"\p{IsCyrillic}"), named("cyrillic")).when(bare.rlike(r"\p{IsGreek}"), named("greek")).otherwise(named("latin")))
+    name = F.when(kind == "given", F.concat(gender, F.lit(":"), named(given))).otherwise(named(lambda script: syllables(script, 4)))
     return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "email", email).when(kind == "ip", ip).otherwise(name)
 
 
@@ -154,23 +166,53 @@ def _woven(entity: Column, symbol: str, norm: Column) -> Column:
 
 def shown(kind: Column, entity: Column, norm: Column) -> Column:
     """A surrogate's norm in the format of the entity it stands for."""
-    title = F.regexp_extract(entity, r"^[^ ]+ ", 0)
     bare = F.substring_index(norm, ":", -1)
-    original = F.regexp_replace(entity, r"^[^ ]+ ", "")
-    cased = F.when((original == F.upper(original)) & (F.length(original) > 1), F.upper(bare)).otherwise(F.initcap(bare))
-    return F.when(kind.isin("card", "phone", "ssn"), _woven(entity, "[0-9]", norm)).when(kind == "iban", _woven(entity, "[A-Z0-9]", norm)).when(kind == "name", F.concat(title, cased)).otherwise(norm)
+    cased = F.when((entity == F.upper(entity)) & (F.length(entity) > 1), F.upper(bare)).otherwise(F.initcap(bare))
+    return F.when(kind.isin("card", "phone", "ssn"), _woven(entity, "[0-9]", norm)).when(kind == "iban", _woven(entity, "[A-Z0-9]", norm)).when(kind.isin("family", "given"), cased).otherwise(norm)
 
 
-def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__parts`` (the text between entities) and ``__found`` (entity, kind, norm)."""
-    rows = docs.withColumn("__hit", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(EVERY), F.lit(0)))
-    rows = rows.withColumn("__parts", F.when(F.size("__hit") > 0, F.split(F.col(text), EVERY, -1)))
-    kinds = F.transform("__hit", lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    rows = rows.withColumn("__found", kinds)
-    return rows.withColumn("__found", F.transform("__found", lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), norm_of(x["kind"], x["entity"]).alias("norm")))).drop("__hit")
+def _named(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with the lower-case name words of each document: ``__last`` and ``__first`` with genders."""
+    titled = F.when(text.rlike(NAME), F.regexp_extract_all(text, F.lit(NAME), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    gender = lambda e: F.when(e.rlike(FEMALE), "f").when(e.rlike(MALE), "m").otherwise("")
+    words = lambda e: F.split(F.lower(F.regexp_replace(e, rf"^{TITLE}\.? ", "")), " ")
+    rows = docs.withColumn("__titled", F.transform(titled, lambda e: F.struct(gender(e).alias("gender"), words(e).alias("words"))))
+    first = F.transform("__titled", lambda t: F.transform(F.slice(t["words"], F.lit(1), F.size(t["words"]) - 1), lambda w: F.struct(w.alias("word"), t["gender"].alias("gender"))))
+    rows = rows.withColumn("__first", F.array_sort(F.array_distinct(F.flatten(first)), lambda a, b: F.when(a["gender"] > b["gender"], -1).when(a["gender"] < b["gender"], 1).otherwise(0)))
+    rows = rows.withColumn("__given", F.transform("__first", lambda x: x["word"]))
+    long_last = F.array_distinct(F.transform(F.filter("__titled", lambda t: F.size(t["words"]) > 1), lambda t: F.element_at(t["words"], -1)))
+    every_last = F.array_distinct(F.transform("__titled", lambda t: F.element_at(t["words"], -1)))
+    return rows.withColumn("__last", F.array_union(long_last, F.array_except(every_last, F.col("__given")))).drop("__titled")
 
 
-def exceptions(entities: DataFrame, key: str = KEY) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__parts`` (the text between entities) and ``__found`` (entity, kind, norm; kind null: no entity)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = _named(docs, whole)
+    has = {"": F.size("__last") > 0, _EMAIL: F.contains(whole, F.lit("@")), _NUMBERS: whole.rlike("[0-9][^A-Za-z]{0,3}[0-9]")}
+    pattern = F.array_join(F.array_compact(F.array(F.when(has[_EMAIL], _EMAIL), F.when(has[_NUMBERS], _NUMBERS), F.when(has[""], _CAPITAL))), "|")
+    some = has[""] | has[_EMAIL] | has[_NUMBERS]
+    rows = rows.withColumn("__pattern", F.when(some, pattern).otherwise("(?!)"))
+    rows = rows.withColumn("__hit", F.when(some, F.regexp_extract_all(whole, F.col("__pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("__parts", F.when(F.size("__hit") > 0, F.split(whole, F.col("__pattern"), -1)))
+
+    def entity(e: Column) -> Column:
+        low = F.lower(e)
+        name = F.when(F.array_contains("__last", low), "family").when(F.array_contains("__given", low), "given")
+        kind = F.when(e.rlike(rf"\A{WORD}\z"), name).otherwise(kind_of(e))
+        return F.struct(e.alias("entity"), kind.alias("kind"))
+
+    def normed(x: Column) -> Column:
+        low = F.lower(x["entity"])
+        gender = F.element_at(F.filter("__first", lambda g: g["word"] == low), 1)["gender"]
+        norm = F.when(x["kind"] == "given", F.concat(gender, F.lit(":"), low)).when(x["kind"].isNotNull(), norm_of(x["kind"], x["entity"]))
+        return F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), norm.alias("norm"))
+
+    rows = rows.withColumn("__found", F.transform("__hit", entity))
+    return rows.withColumn("__found", F.transform("__found", normed)).drop("__hit", "__pattern", "__first", "__given", "__last")
+
+
+def exceptions(entities: DataFrame, key: str) -> DataFrame:
     """``kind, norm, surrogate`` of the entities whose first surrogate is not theirs alone.
 
     ``entities`` has the different kinds and norms of the corpus, checkpointed.
@@ -206,7 +248,7 @@ def exceptions(entities: DataFrame, key: str = KEY) -> DataFrame:
         left = checkpointed(tried(bad, attempt))
 
 
-def by_rank(left: DataFrame, settled: DataFrame, originals: DataFrame, key: str = KEY) -> DataFrame:
+def by_rank(left: DataFrame, settled: DataFrame, originals: DataFrame, key: str) -> DataFrame:
     """``kind, norm, surrogate`` of all rows of ``left`` and of the settled rows that change places with them."""
     keyed = lambda c: F.sha2(F.concat_ws("|", F.lit(key), F.lit("rank"), "kind", c), 256)
     form = ["kind", "head", "n", "us"]
@@ -243,22 +285,20 @@ def by_rank(left: DataFrame, settled: DataFrame, originals: DataFrame, key: str
     return checkpointed(matched.select("kind", "norm", "surrogate").join(moved, ["kind", "norm"], "left_anti").unionByName(moved))
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in the text, and ``n_entities``."""
+def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with surrogates in the text, and ``n_entities``; ``key`` is the caller's secret."""
     keep = others(docs, "n_entities")
-    rows = detect(docs.select(*keep), text)
-    found = detect(docs.select(text), text).where(F.size("__found") > 0)
-    kept = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm")))
-    held = checkpointed(found.select(F.md5(F.col(text)).alias("__of"), F.array_distinct(kept).alias("x")).distinct())
-    held = held.select("__of", F.explode("x").alias("x")).select("__of", "x.kind", "x.norm")
+    found = detect(docs.select(*keep), text).withColumn("__row", F.monotonically_increasing_id())
+    bare = F.when(F.size("__found") == 0, F.col(text))  # else it is in the parts
+    rows = checkpointed(found.withColumn(text, bare))
+    held = rows.where(F.size("__found") > 0).select("__row", F.explode("__found").alias("x")).where("x.kind is not null").select("__row", "x.kind", "x.norm")
     odd = checkpointed(exceptions(checkpointed(held.select("kind", "norm").distinct()), key))
     n_odd = odd.count()
     if n_odd:
         side = F.broadcast(odd) if n_odd <= SMALL_ROWS else odd
-        fixes = held.join(side, ["kind", "norm"])
-        fixes = checkpointed(fixes.groupBy("__of").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "norm"), F.col("surrogate")))).alias("__fix")))
-        side = F.broadcast(fixes) if fixes.count() <= SMALL_ROWS else fixes
-        rows = rows.withColumn("__of", F.when(F.size("__found") > 0, F.md5(F.col(text)))).join(side, "__of", "left")
+        fixes = held.distinct().join(side, ["kind", "norm"])
+        fixes = checkpointed(fixes.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), F.col("surrogate")))).alias("__fix")))
+        rows = rows.join(F.broadcast(fixes) if fixes.count() <= SMALL_ROWS else fixes, "__row", "left")
     else:
         rows = rows.withColumn("__fix", F.lit(None).cast("map<string,string>"))
 
@@ -266,8 +306,11 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
         fixed = F.element_at(F.col("__fix"), F.concat_ws(":", x["kind"], x["norm"]))
         return F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), F.coalesce(fixed, surrogate_norm(x["kind"], x["norm"], F.lit(0), key)).alias("norm"))
 
-    rows = rows.withColumn("__new", F.transform("__found", put))
-    rows = rows.withColumn("__new", F.transform("__new", lambda x: shown(x["kind"], x["entity"], x["norm"])))
+    rows = rows.withColumn("__new", F.transform("__found", lambda x: F.when(x["kind"].isNotNull(), put(x))))
+    rows = rows.withColumn("__new", F.zip_with("__new", "__found", lambda n, x: F.when(n.isNull(), x["entity"]).otherwise(shown(n["kind"], n["entity"], n["norm"]))))
     whole = F.array_join(F.zip_with("__parts", "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     new = F.when(F.size("__found") > 0, whole).otherwise(F.col(text))
-    return rows.select(*(new.alias(c) if c == text else F.col(c) for c in keep), F.size("__found").cast("long").alias("n_entities"))
+    name = lambda x: F.coalesce(x["kind"].isin("family", "given"), F.lit(False))
+    goes_on = lambda i: (i > 0) & name(F.get("__found", i - 1)) & (F.get("__parts", i) == " ")
+    first = F.filter("__found", lambda x, i: x["kind"].isNotNull() & ~(name(x) & F.coalesce(goes_on(i), F.lit(False))))
+    return rows.select(*(new.alias(c) if c == text else F.col(c) for c in keep), F.size(first).cast("long").alias("n_entities"))

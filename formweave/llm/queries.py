@@ -41,7 +41,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.formweave.surrogateKey", "a key for tables without real people")
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
