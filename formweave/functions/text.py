@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,7 +81,8 @@ def looks_like_postal(value: Column) -> Column:
 
 
 def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, (text.contains(t) for t in terms)), F.lit(False))
+    """Whether a term stands in the text, also inside a word: one alternation, so that the text is computed once."""
+    return F.coalesce(text.rlike("|".join(map(re.escape, terms))), F.lit(False))
 
 
 def strip_code_fence(text: Column) -> Column:
@@ -100,11 +101,23 @@ def zone(text: Column) -> Column:
     return F.when(is_blank(text) | (name == "unknown"), F.lit(None)).otherwise(name)
 
 
+def is_retryable(status: Column) -> Column:
+    """Whether a reader's HTTP status is worth another attempt."""
+    return F.coalesce(status.isin(429, 502, 503, 504), F.lit(False))
+
+
 def cache_key(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def prompt(base: str, fields: Column) -> Column:
-    """A base text followed by one line per different, trimmed, non-blank label."""
-    lines = F.array_distinct(F.filter(F.transform(fields, strip), lambda x: x != ""))
-    return F.concat(F.lit(base), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("\n- "), x)), ""))
+def read_prompt(base: str, intro: str, targets: Column, labels_word: str = "labels") -> Column:
+    """``base``, and where fields are asked for ``intro`` and a line per field (struct of name and labels)."""
+    named = lambda t: F.concat(F.lit("- "), t["name"], F.when(F.size(t["labels"]) > 0, F.concat(F.lit(f" ({labels_word}: "), F.array_join(t["labels"], ", "), F.lit(")"))).otherwise(""))
+    lines = F.array_join(F.transform(targets, named), "\n")
+    return F.when(F.coalesce(F.size(targets), F.lit(0)) > 0, F.concat(F.lit(base + intro), lines)).otherwise(F.lit(base))
+
+
+def locate_prompt(base: str, hint: str, labels: Column, end: str = "") -> Column:
+    """``base``, and where there are labels ``hint``, the different trimmed ones that are not blank, and ``end``."""
+    known = F.array_distinct(F.filter(F.transform(labels, strip), lambda x: ~is_blank(x)))
+    return F.when(F.coalesce(F.size(known), F.lit(0)) > 0, F.concat(F.lit(base + hint), F.array_join(known, ", "), F.lit(end))).otherwise(F.lit(base))

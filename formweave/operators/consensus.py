@@ -18,11 +18,11 @@ def _camps(samples: DataFrame) -> DataFrame:
 
 
 def extraction_consensus(samples: DataFrame) -> DataFrame:
-    """``call_id, sample_idx, found, n_pairs``: the low median by number of pairs in the majority's camp."""
+    """``call_id, sample_idx, found, n_pairs`` and further columns: the low median by number of pairs in the majority's camp."""
     order = Window.partitionBy("call_id").orderBy("n_pairs", "sample_idx")
     camp = _camps(samples.withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))))
     place, size = F.row_number().over(order), F.count("*").over(Window.partitionBy("call_id"))
-    return camp.withColumn("place", place).withColumn("size", size).where(F.col("place") == F.floor((F.col("size") - 1) / 2) + 1).select("call_id", "sample_idx", "found", "n_pairs")
+    return camp.withColumn("place", place).withColumn("size", size).where(F.col("place") == F.floor((F.col("size") - 1) / 2) + 1).drop("place", "size", "majority", "ok")
 
 
 def location_consensus(samples: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def zone_of(r: Column) -> Column:
 
 
 def target_region(box: Column, ink: Column, large: Column) -> Column:
-    """A located box on the page's ink, with a margin; null if it covers too much of the page."""
+    """A located box on the page's ink, with a margin; null without a box, or if it covers too much of the page."""
     placed = within(box, ink)
     wide = expanded(placed, F.greatest(F.lit(0.02), 0.05 * F.greatest(placed["w"], placed["h"])))
-    return F.when(wide["w"] * wide["h"] <= F.when(large, 0.35).otherwise(0.70), wide)
+    return F.when(box.isNotNull() & (wide["w"] * wide["h"] <= F.when(large, 0.35).otherwise(0.70)), wide)
 
 
 def named_zone(corner: Column, box: Column) -> Column:
@@ -87,7 +87,7 @@ def ink_bounds(pixels: DataFrame, sizes: DataFrame, level: int = 240, least: int
 
 def turned(pixels: DataFrame, sizes: DataFrame, degrees: Column) -> DataFrame:
     """Pixels turned clockwise by quarter turns; other angles leave them as they are."""
-    rows = pixels.join(sizes, "img_id").withColumn("__d", degrees)
+    rows = pixels.join(sizes, "img_id").withColumn("__d", F.pmod(degrees, F.lit(360)))
     x = F.when(F.col("__d") == 90, F.col("height") - 1 - F.col("y")).when(F.col("__d") == 180, F.col("width") - 1 - F.col("x")).when(F.col("__d") == 270, F.col("y")).otherwise(F.col("x"))
     y = F.when(F.col("__d") == 90, F.col("x")).when(F.col("__d") == 180, F.col("height") - 1 - F.col("y")).when(F.col("__d") == 270, F.col("width") - 1 - F.col("x")).otherwise(F.col("y"))
     return rows.select("img_id", x.alias("x"), y.alias("y"), "level")
@@ -106,5 +106,17 @@ def page_long_side_mm(width_pt: Column, height_pt: Column) -> Column:
     return F.greatest(width_pt, height_pt) / 72 * 25.4
 
 
+def is_large(long_side_mm: Column) -> Column:
+    return long_side_mm > 430
+
+
+def unturned(r: Column, degrees: Column) -> Column:
+    """A region of a page that is shown turned clockwise by quarter turns, on the page as it is stored."""
+    x = F.when(degrees == 90, r["y"]).when(degrees == 180, 1 - r["x"] - r["w"]).when(degrees == 270, 1 - r["y"] - r["h"]).otherwise(r["x"])
+    y = F.when(degrees == 90, 1 - r["x"] - r["w"]).when(degrees == 180, 1 - r["y"] - r["h"]).when(degrees == 270, r["x"]).otherwise(r["y"])
+    side = degrees.isin(90, 270)
+    return region(x, y, F.when(side, r["h"]).otherwise(r["w"]), F.when(side, r["w"]).otherwise(r["h"]))
+
+
 def render_dpi(target_px: Column, side_mm: Column, cap: Column) -> Column:
     return F.least(F.greatest(F.least(target_px / (side_mm / 25.4), cap), F.lit(72.0)), F.lit(400.0))

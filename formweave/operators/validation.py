@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formweave.functions.fuzzy import cannot_reach, ratio
 from formweave.functions.text import is_blank, normalize_label, normalize_value
 from formweave.operators.linkage import AUTO_VALIDATED, TO_REVIEW
-from formweave.sources.stage import staged
+from formweave.sources.stage import sized
 
 CODE_THRESHOLD = 85
 
@@ -16,36 +16,46 @@ CODE_THRESHOLD = 85
 def validate(fields: DataFrame, codes: DataFrame, least: int = CODE_THRESHOLD) -> DataFrame:
     """``fields`` with ``code``, ``code_label`` and ``code_score`` of the nearest code, the first of equals.
 
-    ``codes`` has field, ord, code and libelle. Only a field under review with a value is looked up; a value without
-    a code near enough is kept as it is.
+    ``codes`` has field, ord, code and libelle, and ``request_id`` or ``project`` where tables belong to one: a value
+    is then looked up in the tables of its own request or project only, and ``fields`` must carry that column. Only a
+    field under review with a value is looked up; a value without a code near enough is kept as it is. Different
+    values are scored once; ``fields`` is read twice.
     """
-    plain = staged(fields).withColumn("__v", F.when((F.col("status") == TO_REVIEW) & ~is_blank(F.col("value")), normalize_value(F.col("value"))))
-    values = plain.where("__v is not null").select("name", "__v").distinct()
-    table = codes.where(~is_blank(F.col("code"))).select(F.col("field").alias("name"), "ord", "code", "libelle", normalize_value(F.col("code")).alias("__c"))
-    pairs = values.join(table, "name").where(~cannot_reach(F.col("__v"), F.col("__c"), least))
-    scored = pairs.withColumn("s", ratio(F.col("__v"), F.col("__c"))).where(F.col("s") >= least)
-    best = scored.groupBy("name", "__v").agg(F.max_by(F.struct("code", "libelle", "s"), F.struct("s", -F.col("ord"))).alias("__b"))
-    rows = plain.join(best, ["name", "__v"], "left")
+    scope = [c for c in ("request_id", "project") if c in codes.columns]
+    missing = [c for c in scope if c not in fields.columns]
+    if missing:
+        raise ValueError(f"codes are kept by {missing}, which the fields do not carry")
+    plain = fields.withColumn("__v", F.when((F.col("status") == TO_REVIEW) & ~is_blank(F.col("value")), normalize_value(F.col("value"))))
+    values = plain.where("__v is not null").select(*scope, "name", "__v").distinct()
+    table = sized(codes.where(~is_blank(F.col("code"))).select(*scope, F.col("field").alias("name"), "ord", "code", "libelle", normalize_value(F.col("code")).alias("__c")))
+    met = values.join(table, [*scope, "name"]).where(~cannot_reach(F.col("__v"), F.col("__c"), least))
+    scored = met.withColumn("s", ratio(F.col("__v"), F.col("__c"))).where(F.col("s") >= least)
+    best = scored.groupBy(*scope, "name", "__v").agg(F.max_by(F.struct("code", "libelle", "s"), F.struct("s", -F.col("ord"))).alias("__b"))
+    rows = plain.join(sized(best), [*scope, "name", "__v"], "left")
     status = F.when(F.col("__b").isNotNull(), AUTO_VALIDATED).otherwise(F.col("status"))
     kept = [c for c in fields.columns if c != "status"]
     return rows.select(*kept, status.alias("status"), F.col("__b.code").alias("code"), F.col("__b.libelle").alias("code_label"), F.col("__b.s").alias("code_score"))
 
 
 def enrich(labels: DataFrame, registry: DataFrame, least: int = 80) -> DataFrame:
-    """``name, synonyms``: the caller's labels, widened by the registry's fields that one of them matches.
+    """``labels`` with ``synonyms`` for its ``labels`` array: the caller's, widened by the registry's fields they match.
 
-    ``labels`` has name and labels (array); ``registry`` has field_idx and synonyms (array). Fields are tried in
-    order, and what one adds counts for the next. The registry is a fixed table of a few fields.
+    ``registry`` has field_idx and synonyms (array). Fields are tried in order, and what one adds counts for the next.
+    Different label lists are widened once. The registry is one row after aggregation.
     """
-    own = F.array_distinct(F.filter("labels", lambda x: ~is_blank(x)))
+    own = F.array_distinct(F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: ~is_blank(x)))
+    rows = labels.withColumn("__own", own)
     ordered = registry.groupBy().agg(F.array_sort(F.collect_list(F.struct("field_idx", "synonyms"))).alias("registry"))
 
     def step(now: Column, field: Column) -> Column:
         near = F.exists(now, lambda a: F.exists(field["synonyms"], lambda b: ratio(normalize_label(a), normalize_label(b)) >= least))
         return F.when(near, F.array_distinct(F.concat(now, field["synonyms"]))).otherwise(now)
 
-    return labels.join(F.broadcast(ordered)).select("name", F.aggregate("registry", own, step).alias("synonyms"))
+    wide = rows.select("__own").distinct().join(F.broadcast(ordered)).select("__own", F.aggregate("registry", F.col("__own"), step).alias("synonyms"))
+    return rows.join(sized(wide), "__own").select(*(c for c in labels.columns if c not in ("labels", "synonyms")), "synonyms")
 
 
 def active_synonyms(confirmed: Column, hypothesis: Column, with_hypotheses: bool) -> Column:
-    return F.concat(confirmed, hypothesis) if with_hypotheses else confirmed
+    """The confirmed list, and on demand the hypotheses behind it; null lists are empty."""
+    known = [F.coalesce(x, F.array().cast("array<string>")) for x in ((confirmed, hypothesis) if with_hypotheses else (confirmed,))]
+    return F.concat(*known)

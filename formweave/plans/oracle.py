@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
-from formweave.functions.text import CONTACT_TERMS, ID_LABELS
-from formweave.operators.geometry import ZONES
-from formweave.operators.routing import CORNERS
-from formweave.plans.forms import _CODE_ROWS, _FORMS, _SYNONYM_ROWS, _TARGET_ROWS, TARGETS, VARIANTS, _values
+# What the queries are given and what is fixed is spelled out here once more: nothing is taken from the code that is checked.
+TARGETS = {"STATUS": ["Status", "Statut", "État"], "PRIORITY": ["Priority", "Priorité"], "SEGMENT": ["Segment", "Market"], "NATION": ["Nation", "Country"], "ZONE": ["Zone"]}
+ID_LABELS = ["phase", "indice", "revision", "echelle", "format", "emetteur", "lot", "zone", "niveau", "numero", "n°", "affaire", "projet", "batiment", "type", "date"]
+CONTACT_TERMS = ["rue", "avenue", "boulevard", "cedex", "immeuble", "constructeur", "mainteneur", "maitrise", "maitre d", "controle technique", "coordonnateur", "bureau d"]
+ZONES = ["top-left", "top-center", "top-right", "middle-left", "middle-center", "middle-right", "bottom-left", "bottom-center", "bottom-right"]
+CORNERS = ["bottom-right", "bottom-left", "top-right", "top-left"]
+LABELS = [
+    ["Status", "STATUT :", "Order status", "État"], ["Priority", "Priorité :", "Prio rity", "N° priority"], ["Segment", "Market segment", "SEGMENT", "Mkt"], ["Nation", "Country / Nation", "Pays", "NATION :"],
+    ["Status", "Remarks", "Status priority", "Segment nation"],
+]
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    shown = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+_TARGET_ROWS = [(i, n) for i, n in enumerate(TARGETS)]
+_SYNONYM_ROWS = [(i, j, x) for i, n in enumerate(TARGETS) for j, x in enumerate(TARGETS[n])]
+_CODE_ROWS = [("STATUS", i, c, c) for i, c in enumerate("OFP")] + [("PRIORITY", i, str(i), "") for i in range(1, 6)] + [("SEGMENT", i, c, "") for i, c in enumerate(["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])]
+_VALUES = [
+    "CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END",
+    "CASE WHEN o_orderkey % 2 = 0 THEN '00' || substr(o_orderpriority, 1, 1) ELSE substr(o_orderpriority, 1, 1) END",
+    "CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN lower(c_mktsegment) ELSE ' ' || c_mktsegment END",
+    "n_name",
+    "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'note ' || (o_orderkey % 97) END",
+]
+_PAIRS = " UNION ALL ".join(f"SELECT o_orderkey AS doc_id, {i} AS pair_idx, {_list(x)}[(o_orderkey % 4 + 1)::INT] AS label, {v} AS value FROM joined" for i, (x, v) in enumerate(zip(LABELS, _VALUES, strict=True)))
+_JOINED = "joined AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+_FORMS = f"{_JOINED},\npairs AS ({_PAIRS})"
 
 
 def _norm(x: str) -> str:
@@ -97,14 +127,14 @@ codes AS (
 _SAMPLES = """
 samples AS (
   SELECT conv_id AS call_id, turn::INT AS sample_idx, (conv_id + turn) % 3 <> 0 AS found, (length(text) % 37)::INT AS n_pairs,
-    (conv_id * 5 + turn) % 7 <> 0 AS ok,
+    (conv_id * 5 + turn) % 7 <> 0 AND conv_id % 10 <> 3 AS ok,
     ['bottom-right', 'bottom-right', 'top-left', 'unknown', 'unknown'][((conv_id * 3 + turn * turn) % 5 + 1)::INT] AS corner
   FROM conversations),
 votes AS (SELECT *, 2 * sum(found::INT) OVER (PARTITION BY call_id) >= count(*) OVER (PARTITION BY call_id) AS majority FROM samples WHERE ok),
 camp AS (SELECT * FROM votes WHERE found = majority)"""
 
 
-def _any(x: str, terms: tuple[str, ...]) -> str:
+def _any(x: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, '{t}')" for t in terms) + ")"
 
 
@@ -119,7 +149,7 @@ _POINTS = (
     f" - CASE WHEN {_any(_FOLD.format('label'), CONTACT_TERMS)} OR {_any(_FOLD.format('value'), CONTACT_TERMS)} OR length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 OR contains(value, '@') OR regexp_matches(value, '\\b[0-9]{{5}}\\b') THEN 3 ELSE 0 END"
     f" - CASE WHEN {_count('value')} > 5 THEN 1 ELSE 0 END)"
 )
-_LABELS = ", ".join(f"'{v}'" for x in VARIANTS.values() for v in x)
+_LABELS = ", ".join(f"'{v}'" for x in LABELS for v in x)
 
 
 def _route() -> str:
@@ -128,32 +158,139 @@ def _route() -> str:
     order = " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(CORNERS))
     return f"""
 WITH pages AS (
-  SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS large, o_orderkey % 5 * 60 AS text_chars, ['top-left', 'bottom-right', 'unknown'][(o_orderkey % 3 + 1)::INT] AS zone,
-    o_orderkey % 2 = 0 AS usable, CASE WHEN o_orderkey % 23 = 0 THEN 'top-left' END AS forced FROM orders),
-r AS (
-  SELECT doc_id, stage, {n(6, 17)} AS n_pairs, {n(9, 29)} AS score, {n(5, 7)} = 0 AS passes, {n(3, 11)} = 0 AS mentions, substr(stage, 8) AS spot
-  FROM (SELECT o_orderkey AS doc_id, stage, i FROM orders, (VALUES {stages}) AS s(stage, i))),
+  SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS large, o_orderkey % 6 * 60 AS text_chars, ['top-left', 'bottom-right', NULL][(o_orderkey % 7 % 3 + 1)::INT] AS zone,
+    o_orderkey % 2 = 0 AS usable, CASE WHEN o_orderkey % 23 = 0 THEN 'top-left' END AS forced, o_orderkey % 19 <> 0 AS seen,
+    (o_orderkey % 7)::DOUBLE / 20.0::DOUBLE + 0.1::DOUBLE AS cx, (o_orderkey % 11)::DOUBLE / 20.0::DOUBLE + 0.15::DOUBLE AS cy FROM orders),
+named AS (
+  SELECT *, coalesce(zone, CASE WHEN cy < 1.0::DOUBLE / 3 THEN 'top' WHEN cy > 2.0::DOUBLE / 3 THEN 'bottom' ELSE 'middle' END || '-' || CASE WHEN cx < 1.0::DOUBLE / 3 THEN 'left' WHEN cx > 2.0::DOUBLE / 3 THEN 'right' ELSE 'center' END) AS at_box FROM pages),
+r0 AS (
+  SELECT doc_id, stage, i, CASE WHEN doc_id % 43 = 0 AND i > 0 THEN 0 ELSE {n(6, 17)} END AS n_pairs
+  FROM (SELECT o_orderkey AS doc_id, stage, i FROM orders, (VALUES {stages}) AS s(stage, i)) WHERE NOT (doc_id % 41 = 0 AND i > 2)),
+r AS (SELECT doc_id, stage, n_pairs, {n(9, 29)} AS score, {n(5, 7)} = 0 AND n_pairs > 0 AS passes, {n(3, 11)} = 0 AND n_pairs > 0 AS mentions, substr(stage, 8) AS spot FROM r0),
 c AS (
-  SELECT r.*, CASE WHEN spot = zone THEN -1 ELSE CASE spot {order} END END AS ord FROM r JOIN pages USING (doc_id) WHERE stage LIKE 'corner:%'),
+  SELECT r.*, CASE WHEN seen AND spot = zone THEN -1 ELSE CASE spot {order} END END AS ord FROM r JOIN pages USING (doc_id) WHERE stage LIKE 'corner:%'),
 best AS (SELECT * FROM c WHERE passes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, score DESC, ord) = 1),
 rich AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, n_pairs DESC, ord) = 1),
 j AS (
   SELECT p.*, t.passes AND t.mentions AS text_good, b.passes AND b.mentions AS box_good, b.passes AS box_passes, b.n_pairs AS box_n, b.mentions AS box_m, f.n_pairs AS full_n,
-    best.spot AS best_at, rich.spot AS rich_at, rich.n_pairs AS rich_n, rich.mentions AS rich_m, fc.passes AS forced_passes
-  FROM pages p JOIN r t ON t.doc_id = p.doc_id AND t.stage = 'text' JOIN r b ON b.doc_id = p.doc_id AND b.stage = 'boxed' JOIN r f ON f.doc_id = p.doc_id AND f.stage = 'full'
+    best.spot AS best_at, rich.spot AS rich_at, rich.n_pairs AS rich_n, rich.mentions AS rich_m, coalesce(fc.passes, false) AS forced_passes
+  FROM named p JOIN r t ON t.doc_id = p.doc_id AND t.stage = 'text' JOIN r b ON b.doc_id = p.doc_id AND b.stage = 'boxed' JOIN r f ON f.doc_id = p.doc_id AND f.stage = 'full'
   LEFT JOIN best ON best.doc_id = p.doc_id LEFT JOIN rich ON rich.doc_id = p.doc_id LEFT JOIN r fc ON fc.doc_id = p.doc_id AND fc.stage = 'corner:' || p.forced),
 k AS (
   SELECT *, CASE WHEN text_chars >= 200 AND text_good THEN 1 WHEN large AND forced IS NOT NULL THEN 2 WHEN usable AND box_good THEN 3
     WHEN NOT large AND usable AND box_n > full_n THEN 4 WHEN NOT large THEN 5 WHEN best_at IS NOT NULL THEN 6
-    WHEN usable AND box_n > 0 AND (box_m > rich_m OR (box_m = rich_m AND box_n > rich_n)) THEN 4 WHEN rich_n > 0 THEN 8 ELSE 9 END AS way FROM j)
+    WHEN usable AND (rich_at IS NULL OR box_m > rich_m OR (box_m = rich_m AND box_n > rich_n)) THEN 4 WHEN rich_n > 0 THEN 8 ELSE 9 END AS way FROM j)
 SELECT doc_id, ['TEXT_LAYER', 'TWO_PASS_CROP', 'TWO_PASS_CROP', 'TWO_PASS_CROP', 'SINGLE_PAGE', 'TWO_PASS_CROP', '', 'TWO_PASS_CROP', 'NEEDS_TILING'][way] AS mode,
-  CASE way WHEN 2 THEN forced WHEN 3 THEN zone WHEN 4 THEN zone WHEN 6 THEN best_at WHEN 8 THEN rich_at WHEN 9 THEN zone END AS corner,
+  CASE way WHEN 2 THEN forced WHEN 3 THEN at_box WHEN 4 THEN at_box WHEN 6 THEN best_at WHEN 8 THEN rich_at WHEN 9 THEN coalesce(zone, 'unknown') END AS corner,
   CASE way WHEN 2 THEN forced_passes WHEN 4 THEN box_passes WHEN 8 THEN false WHEN 9 THEN false ELSE true END AS quality_passed,
   [1, 1, 1, 1, 1, 4, 0, 4, 0][way]::INT AS attempts,
   CASE way WHEN 1 THEN 'text' WHEN 2 THEN 'corner:' || forced WHEN 3 THEN 'boxed' WHEN 4 THEN 'boxed' WHEN 5 THEN 'full' WHEN 6 THEN 'corner:' || best_at WHEN 8 THEN 'corner:' || rich_at END AS stage
 FROM k"""
 
 
+def _switches() -> str:
+    """By hand: on a large page the route is forced top-right (every 5th), boxed (every 3rd), a corner, or none."""
+    even, six = "(k % 2 = 0)", "(k % 2 = 0 AND k % 3 = 0)"
+    # a corner that passes, the located one first; where none passes, the located one of equals
+    free = "CASE WHEN k % 11 = 0 OR k % 4 <> 0 THEN 'top-left' ELSE 'top-right' END"
+    unlocated = "CASE WHEN k % 4 = 0 THEN 'top-right' WHEN k % 11 = 0 THEN 'top-left' ELSE 'top-right' END"  # the fixed order decides
+    crop, single = "'TWO_PASS_CROP'", "'SINGLE_PAGE'"
+    ways = {
+        "none": (f"CASE WHEN k % 7 = 0 THEN 'TEXT_LAYER' WHEN {even} THEN {crop} ELSE {single} END", f"CASE WHEN k % 7 = 0 THEN NULL WHEN {even} AND k % 5 = 0 THEN 'top-right' WHEN {six} THEN 'top-left' WHEN {even} THEN {free} END"),
+        "text_layer": (f"CASE WHEN {even} THEN {crop} ELSE {single} END", f"CASE WHEN {even} AND k % 5 = 0 THEN 'top-right' WHEN {six} THEN 'top-left' WHEN {even} THEN {free} END"),
+        "locate": (f"CASE WHEN {even} THEN {crop} ELSE {single} END", f"CASE WHEN {even} AND k % 5 = 0 THEN 'top-right' WHEN {even} THEN {unlocated} END"),
+        "forced": (f"CASE WHEN {even} THEN {crop} ELSE {single} END", f"CASE WHEN {six} THEN 'top-left' WHEN {even} THEN {free} END"),
+    }
+    return " UNION ALL ".join(f"SELECT '{off}' AS off, mode, corner, count(*) AS n FROM (SELECT {mode} AS mode, {at} AS corner FROM (SELECT o_orderkey AS k FROM orders)) GROUP BY mode, corner" for off, (mode, at) in ways.items())
+
+
+_REQUESTS = {
+    "r0": [("STATUS", ["Status", "Statut", "État"], ["O", "F", "P"]), ("NATION", ["Nation", "Country"], []), ("STATUS", ["Segment"], [])],
+    "r1": [("PRIORITY", ["Priority", "Priorité"], ["1", "2", "3"]), ("STATUS", ["Order status"], ["X"]), ("LOT", ["Lot"], ["BUILDING"])],
+    "r2": [("ZONE", ["Nation"], ["FRANCE", "CHINA"]), ("PRIORITY", [], ["1"]), ("SEGMENT", ["Segment", "Market"], ["building", "Household"])],
+}
+
+
+def _extract() -> str:
+    """CTEs that end in ``fields``, ``remaining`` and ``calls`` of the three requests."""
+    targets = [(r, i, n) for r, x in _REQUESTS.items() for i, (n, _, _) in enumerate(x)]
+    synonyms = [(r, i, j, y) for r, x in _REQUESTS.items() for i, (_, ys, _) in enumerate(x) for j, y in enumerate(ys)]
+    codes = [(r, n, j, c) for r, x in _REQUESTS.items() for n, _, cs in x for j, c in enumerate(cs)]
+    return f"""
+{_JOINED},
+every AS ({_PAIRS}),
+calls AS (
+  SELECT o_orderkey AS doc_id, 'r' || (o_orderkey % 3) AS request_id, o_orderkey % 13 = 0 AS bare, o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS unread, o_orderkey % 4 = 0 AS texty FROM orders),
+pairs AS (SELECT request_id, e.*, texty FROM every e JOIN calls USING (doc_id) WHERE NOT (bare OR unread)),
+targets AS (SELECT * FROM {_values(targets, "request_id", "target_idx", "name")}),
+synonyms AS (SELECT * FROM {_values(synonyms, "request_id", "target_idx", "syn_idx", "synonym")}),
+codes AS (SELECT *, request_id || ' ' || code AS libelle FROM {_values(codes, "request_id", "field", "ord", "code")}),
+labels AS (SELECT DISTINCT request_id, label, {_norm("label")} AS a FROM pairs),
+words AS (SELECT *, {_norm("synonym")} AS b FROM synonyms),
+asked AS (SELECT a, b FROM labels JOIN words USING (request_id)),
+{_scores("asked")},
+best AS (
+  SELECT l.request_id, label, target_idx, similarity AS score, synonym FROM labels l JOIN words w ON w.request_id = l.request_id JOIN scores s ON s.a = l.a AND s.b = w.b WHERE similarity >= 60
+  QUALIFY row_number() OVER (PARTITION BY l.request_id, label, target_idx ORDER BY similarity DESC, syn_idx) = 1),
+done AS (
+  SELECT p.request_id, doc_id, target_idx, pair_idx, score, synonym, label, value FROM pairs p JOIN best b USING (request_id, label)
+  WHERE pair_idx = 0 AND texty AND target_idx = CASE request_id WHEN 'r0' THEN 0 WHEN 'r1' THEN 1 END),
+served AS (SELECT d.doc_id, t.target_idx FROM done d JOIN targets t ON t.request_id = d.request_id AND t.name = 'STATUS'),
+cand AS (
+  SELECT p.request_id, p.doc_id, pair_idx, target_idx, score, synonym, label, value,
+    row_number() OVER (PARTITION BY p.doc_id ORDER BY score DESC, trim(value) = '', target_idx, pair_idx) AS k
+  FROM (SELECT * FROM pairs ANTI JOIN done USING (doc_id, pair_idx)) p JOIN best USING (request_id, label) ANTI JOIN served USING (doc_id, target_idx) WHERE score >= 80),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS t, []::BIGINT[] AS p, false AS taken FROM (SELECT DISTINCT doc_id FROM cand)
+  UNION ALL
+  SELECT c.doc_id, c.k, CASE WHEN list_contains(t, c.target_idx) OR list_contains(p, c.pair_idx) THEN t ELSE list_append(t, c.target_idx) END,
+    CASE WHEN list_contains(t, c.target_idx) OR list_contains(p, c.pair_idx) THEN p ELSE list_append(p, c.pair_idx) END,
+    NOT (list_contains(t, c.target_idx) OR list_contains(p, c.pair_idx))
+  FROM fold JOIN cand c ON c.doc_id = fold.doc_id AND c.k = fold.k + 1),
+chosen AS (
+  SELECT request_id, doc_id, target_idx, pair_idx, score, synonym, label, value FROM cand JOIN fold USING (doc_id, k) WHERE taken
+  UNION ALL SELECT * FROM done),
+remaining AS (SELECT request_id, doc_id, pair_idx, label, value FROM pairs ANTI JOIN chosen USING (doc_id, pair_idx)),
+firsts AS (SELECT *, min(target_idx) OVER (PARTITION BY request_id, name) AS source FROM targets),
+seen AS (SELECT DISTINCT request_id, name, value, {_value_norm("value")} AS v FROM chosen JOIN targets USING (request_id, target_idx) WHERE trim(value) <> ''),
+near AS (
+  SELECT s.request_id, s.name, s.value, c.code, c.libelle, c.ord, {_ratio("v", "c")} AS s FROM seen s JOIN (SELECT *, {_value_norm("code")} AS c FROM codes) c ON c.request_id = s.request_id AND c.field = s.name),
+hit AS (SELECT * FROM near WHERE s >= 85 QUALIFY row_number() OVER (PARTITION BY request_id, name, value ORDER BY s DESC, ord) = 1),
+fields AS (
+  SELECT d.request_id, d.doc_id, t.target_idx::INT AS target_idx, t.name, c.label, c.value, coalesce(c.score, 0)::INT AS score, c.synonym,
+    CASE WHEN c.doc_id IS NULL THEN 'MISSING' WHEN h.code IS NULL THEN 'TO_REVIEW' ELSE 'AUTO_VALIDATED' END AS status, h.code, h.libelle AS code_label, h.s::INT AS code_score,
+    CASE WHEN texty AND NOT bare AND NOT unread AND n_short >= 3 THEN 'TEXT_LAYER' ELSE 'SINGLE_PAGE' END AS mode, NOT unread AS found
+  FROM calls d JOIN firsts t ON t.request_id = d.request_id LEFT JOIN chosen c ON c.doc_id = d.doc_id AND c.target_idx = t.source LEFT JOIN hit h ON h.request_id = d.request_id AND h.name = t.name AND h.value = c.value
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE trim(value) <> '' AND {_count("label")} <= 6 AND {_count("value")} <= 6) AS n_short FROM pairs GROUP BY doc_id) n ON n.doc_id = d.doc_id)"""
+
+
+def _requests() -> str:
+    """The bodies as text, with the escapes of JSON."""
+    text = '{"type":"string"}'
+    pair = f'"label":{text},"value":{text}'
+    item = lambda own, names: '{"type":"object","properties":{' + own + '},"required":[' + names + '],"additionalProperties":false}'
+    found = '"cartoucheFound":{"type":"boolean"},"fields":{"type":"array","items":' + item(pair, '"label","value"') + "}"
+    schema = lambda own, names: '{"type":"json_schema","json_schema":{"name":"extraction","schema":' + item(own, names) + ',"strict":true}}'
+    head, tail = schema(found + ',"assignments":{"type":"array","items":' + item('"field":{"type":"string","enum":@},' + pair, '"field","label","value"') + "}", '"cartoucheFound","fields","assignments"').split("@")
+    sides = item(",".join(f'"{c}":' + '{"type":"number"}' for c in ("left", "top", "right", "bottom")), '"left","top","right","bottom"')
+    place = item(f'"cartoucheFound":{{"type":"boolean"}},"box":{sides},"corner":{{"type":"string","enum":["top-left","unknown"]}},"rotation":{{"type":"string","enum":["none","180"]}}', '"cartoucheFound","box","corner","rotation"')
+    location = '{"type":"json_schema","json_schema":{"name":"location","schema":' + place + ',"strict":true}}'
+    plain = schema(found, '"cartoucheFound","fields"')
+    return f"""
+WITH d AS (
+  SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN '{plain}' ELSE '{head}["' || o_orderstatus || '"]{tail}' END AS f,
+    'Read.' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '\\nFill:\\n- ' || o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN ' (labels: ' || o_orderpriority || ', say \\"x\\")' ELSE '' END END AS p,
+    'Find.' || CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 <> 0 THEN '' ELSE ' Labels: ' || o_orderpriority || ', say \\"x\\".' END AS l,
+    'data:image/png;base64,' || to_base64(encode(CASE WHEN o_orderkey % 5 = 0 THEN 'image' ELSE o_orderstatus END)) AS u FROM orders),
+b AS (
+  SELECT doc_id,
+    '{{"model":"m-1","response_format":' || f || ',"max_completion_tokens":900,"reasoning_effort":"low","temperature":0.0,"seed":7,"messages":[{{"role":"system","content":"be exact"}},{{"role":"user","content":"' || p || '\\n\\nline\\n\\"' || doc_id || '"}}]}}' AS text_body,
+    '{{"model":"m-1","response_format":' || f || ',"max_completion_tokens":900,"reasoning_effort":"low","temperature":0.0,"seed":7,"messages":[{{"role":"system","content":"be exact"}},{{"role":"user","content":[{{"type":"text","text":"' || p || '"}},{{"type":"image_url","image_url":{{"url":"' || u || '","detail":"high"}}}}]}}]}}' AS image_body,
+    '{{"model":"m-2","response_format":{location},"messages":[{{"role":"system","content":""}},{{"role":"user","content":[{{"type":"text","text":"' || l || '"}},{{"type":"image_url","image_url":{{"url":"' || u || '"}}}}]}}]}}' AS plain_body,
+    '{{"model":"m-1","document_annotation_format":' || f || ',"document_annotation_prompt":"' || p || '","include_image_base64":false,"document":{{"type":"image_url","image_url":"' || u || '"}}}}' AS ocr_body FROM d)
+SELECT *, sha256(text_body) AS text_key, sha256(image_body) AS image_key, sha256(plain_body) AS plain_key, sha256(ocr_body) AS ocr_key FROM b"""
+
+
 def _regions() -> str:
     names = ", ".join(f"'{z}'" for z in [*ZONES, "unknown"])
     clamp = lambda v: f"least(greatest({v}, 0.0::DOUBLE), 1.0::DOUBLE)"
@@ -174,6 +311,7 @@ t AS (SELECT *, {clamp("px - mg")} AS tx, {clamp("py - mg")} AS ty, {clamp("px +
 f AS (SELECT *, tw * th <= CASE WHEN k % 2 = 0 THEN 0.35::DOUBLE ELSE 0.70::DOUBLE END AS fits FROM t)
 SELECT l_orderkey, l_linenumber, floor(x * 1000000 + 0.5::DOUBLE)::BIGINT AS box_x, floor(y * 1000000 + 0.5::DOUBLE)::BIGINT AS box_y, floor(w * 1000000 + 0.5::DOUBLE)::BIGINT AS box_w, floor(h * 1000000 + 0.5::DOUBLE)::BIGINT AS box_h,
   CASE WHEN y + h / 2 < 1.0::DOUBLE / 3 THEN 'top' WHEN y + h / 2 > 2.0::DOUBLE / 3 THEN 'bottom' ELSE 'middle' END || '-' || CASE WHEN x + w / 2 < 1.0::DOUBLE / 3 THEN 'left' WHEN x + w / 2 > 2.0::DOUBLE / 3 THEN 'right' ELSE 'center' END AS zone,
+  coalesce([NULL, 'top-left', NULL, 'bottom-center'][(l_linenumber % 4 + 1)::INT], CASE WHEN y + h / 2 < 1.0::DOUBLE / 3 THEN 'top' WHEN y + h / 2 > 2.0::DOUBLE / 3 THEN 'bottom' ELSE 'middle' END || '-' || CASE WHEN x + w / 2 < 1.0::DOUBLE / 3 THEN 'left' WHEN x + w / 2 > 2.0::DOUBLE / 3 THEN 'right' ELSE 'center' END) AS named,
   CASE WHEN fits THEN floor(tx * 1000000 + 0.5::DOUBLE)::BIGINT END AS target_x, CASE WHEN fits THEN floor(ty * 1000000 + 0.5::DOUBLE)::BIGINT END AS target_y, CASE WHEN fits THEN floor(tw * 1000000 + 0.5::DOUBLE)::BIGINT END AS target_w, CASE WHEN fits THEN floor(th * 1000000 + 0.5::DOUBLE)::BIGINT END AS target_h
 FROM f"""
 
@@ -208,11 +346,12 @@ taken AS (SELECT doc_id, target_idx, pair_idx, score FROM done UNION ALL SELECT
 SELECT d.doc_id, t.target_idx::INT AS target_idx, t.name, p.label, p.value, coalesce(x.score, 0)::INT AS score, CASE WHEN x.doc_id IS NULL THEN 'MISSING' ELSE 'TO_REVIEW' END AS status
 FROM (SELECT DISTINCT doc_id FROM pairs) d CROSS JOIN targets t LEFT JOIN taken x ON x.doc_id = d.doc_id AND x.target_idx = t.target_idx
 LEFT JOIN pairs p ON p.doc_id = x.doc_id AND p.pair_idx = x.pair_idx""",
-        "text_functions": rf"""
-WITH d AS (SELECT doc_id, substr(text, 1, 60) AS t, '00' || doc_id || ' :' AS v FROM documents WHERE text IS NOT NULL)
+        "text_functions": f"""
+WITH d AS (SELECT doc_id, text AS t, '00' || doc_id || ' :' AS v, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 400) END AS c FROM documents)
 SELECT doc_id, {_norm("t")} AS label_form, {_value_norm("v")} AS value_form,
-  trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS simple_form, lower(strip_accents(t)) AS folded,
-  CASE WHEN regexp_full_match(t, '\s*') THEN 0 ELSE len(regexp_extract_all(t, '[^ \t\n\x0b\f\r]+')) END::INT AS n_words FROM d""",
+  coalesce(trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '') AS simple_form, coalesce(lower(strip_accents(t)), '') AS folded,
+  coalesce(len(regexp_extract_all(t, '[^ \t\n\x0b\f\r]+')), 0)::INT AS n_words, CASE WHEN length(c) > 500 THEN substr(c, 1, 500) || '…' ELSE c END AS cut,
+  CASE WHEN length(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 200 THEN t ELSE '' END AS readable, doc_id % 6 IN (2, 3, 4) AS retryable FROM d""",
         "value_predicates": f"""
 WITH {_FORMS}
 SELECT doc_id, pair_idx::INT AS pair_idx, {_SHORT} AS short_code, length(regexp_replace(value || ' ' || doc_id, '[^0-9]', '', 'g')) >= 7 AS phone,
@@ -255,6 +394,49 @@ v AS (SELECT call_id, found, corner, count(*) AS n, min(sample_idx) AS sample_id
 SELECT call_id, sample_idx, found, corner FROM v QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY n DESC, sample_idx) = 1""",
         "failed_calls": f"WITH {_SAMPLES}\nSELECT call_id FROM samples GROUP BY call_id HAVING NOT bool_or(ok)",
         "page_regions": _regions(),
+        "extract_forms": f"WITH RECURSIVE {_extract()}\nSELECT * FROM fields",
+        "extract_responses": f"""
+WITH RECURSIVE {_extract()},
+f AS (
+  SELECT request_id, doc_id, any_value(found) AS found, any_value(mode) AS mode,
+    list(struct_pack(name := name, value := value, status := status, rawLabel := label, matchScore := score, referenceCode := code, referenceLabel := code_label, referenceScore := code_score) ORDER BY target_idx) AS fields
+  FROM fields GROUP BY request_id, doc_id),
+u AS (SELECT doc_id, list(struct_pack(label := label, value := value) ORDER BY pair_idx) AS pairs FROM remaining GROUP BY doc_id)
+SELECT request_id, doc_id, to_json(struct_pack(cartoucheFound := found, mode := mode, corner := NULL, qualityPassed := true, fields := fields, unclassifiedPairs := coalesce(pairs, [])))::VARCHAR AS response FROM f LEFT JOIN u USING (doc_id)""",
+        "project_codes": """
+WITH c AS (
+  SELECT (c_custkey % 3)::VARCHAR AS project, c_custkey AS doc_id, c_mktsegment AS seg, c_custkey % 5 = 0 AS odd,
+    CASE WHEN c_custkey % 5 = 0 THEN ' ' || lower(c_mktsegment) || 's' ELSE c_mktsegment END AS value FROM customer),
+m AS (SELECT *, CASE WHEN project = '0' AND seg = 'BUILDING' THEN 'BUILDING' WHEN project = '1' AND seg = 'BUILDING' THEN 'building' WHEN project = '1' AND seg = 'MACHINERY' THEN 'MACHINERY' END AS code FROM c)
+SELECT project, doc_id, value, CASE WHEN code IS NULL THEN 'TO_REVIEW' ELSE 'AUTO_VALIDATED' END AS status, code, CASE WHEN code IS NOT NULL THEN CASE project WHEN '0' THEN 'zero' ELSE 'one' END END AS code_label,
+  CASE WHEN code IS NULL THEN NULL WHEN NOT odd THEN 100 WHEN seg = 'BUILDING' THEN 94 ELSE 95 END::INT AS code_score FROM m""",
+        "registry_synonyms": f"""
+WITH n AS (SELECT n_nationkey, {_list([*TARGETS, "EMPTY", "status"])}[(n_nationkey % 7 + 1)::INT] AS name FROM nation),
+g AS (SELECT * FROM {_values([(n, x[0], "|".join(x)) for n, x in TARGETS.items()], "name", "confirmed", "both_lists")})
+SELECT n_nationkey, n.name, hypotheses, CASE WHEN hypotheses THEN both_lists ELSE confirmed END AS synonyms FROM n CROSS JOIN (VALUES (false), (true)) AS h(hypotheses) LEFT JOIN g ON g.name = n.name""",
+        "routing_switches": _switches(),
+        "page_pixels": """
+WITH p AS (SELECT DISTINCT l_suppkey % 20 AS img_id, l_orderkey % 24 AS x, l_partkey % 18 AS y, l_linenumber * 30 AS level FROM lineitem),
+t AS (
+  SELECT img_id, level, CASE img_id % 5 WHEN 1 THEN 17 - y WHEN 2 THEN 23 - x WHEN 3 THEN y ELSE x END AS x, CASE img_id % 5 WHEN 1 THEN x WHEN 2 THEN 17 - y WHEN 3 THEN 23 - x ELSE y END AS y,
+    CASE WHEN img_id % 5 IN (1, 3) THEN 18 ELSE 24 END AS w, CASE WHEN img_id % 5 IN (1, 3) THEN 24 ELSE 18 END AS h FROM p),
+b AS (SELECT *, floor(w * 0.25 + 0.5)::INT AS x0, h // 2 AS y0, w // 2 AS cw, h // 2 AS ch FROM t)
+SELECT img_id, (x - x0)::INT AS x, (y - y0)::INT AS y, level FROM b WHERE x >= x0 AND x < x0 + cw AND y >= y0 AND y < y0 + ch""",
+        "page_sizes": """
+WITH a AS (
+  SELECT o_orderkey, greatest((o_orderkey % 40 * 100 + 72)::DOUBLE, (o_orderkey % 25 * 72 + 144)::DOUBLE) / 72 * 25.4::DOUBLE AS mm, (o_orderkey % 5)::DOUBLE / 8 AS x, (o_orderkey % 3)::DOUBLE / 8 AS y, o_orderkey % 4 * 90 AS d FROM orders),
+t AS (
+  SELECT o_orderkey, mm, CASE d WHEN 90 THEN y WHEN 180 THEN 0.75::DOUBLE - x WHEN 270 THEN 0.5::DOUBLE - y ELSE x END AS tx, CASE d WHEN 90 THEN 0.75::DOUBLE - x WHEN 180 THEN 0.5::DOUBLE - y WHEN 270 THEN x ELSE y END AS ty,
+    d IN (90, 270) AS side, least(greatest(least(2200::DOUBLE / (mm / 25.4::DOUBLE), 300::DOUBLE), 72::DOUBLE), 400::DOUBLE) AS dpi FROM a)
+SELECT o_orderkey, floor(mm * 1000000 + 0.5::DOUBLE)::BIGINT AS long_side, mm > 430 AS large, floor(dpi * 1000000 + 0.5::DOUBLE)::BIGINT AS dpi, floor(tx * 1000000 + 0.5::DOUBLE)::BIGINT AS turned_x, floor(ty * 1000000 + 0.5::DOUBLE)::BIGINT AS turned_y,
+  CASE WHEN side THEN 500000 ELSE 250000 END::BIGINT AS turned_w, CASE WHEN side THEN 250000 ELSE 500000 END::BIGINT AS turned_h FROM t""",
+        "replay_counters": """
+SELECT count(*) FILTER (WHERE k % 3 <> 0) AS hits, count(*) FILTER (WHERE k % 3 = 0) AS misses, count(*) FILTER (WHERE k % 3 <> 0 AND k % 2 = 0) AS n_usage,
+  (sum(k) FILTER (WHERE k % 3 <> 0 AND k % 2 = 0))::BIGINT AS prompt, 7 * count(*) FILTER (WHERE k % 3 <> 0 AND k % 2 = 0) AS completion, 0::BIGINT AS reasoning FROM (SELECT o_orderkey AS k FROM orders)""",
+        "reader_requests": _requests(),
+        "code_files": """
+SELECT 'p1' AS project, 'NATION' AS field, row_number() OVER (ORDER BY n_nationkey)::INT AS ord, n_name AS code, n_name || ', ' || n_nationkey AS libelle FROM nation
+UNION ALL SELECT 'p2', 'REGION', row_number() OVER (ORDER BY r_regionkey)::INT, r_name, r_name || chr(10) || 'no. ' || r_regionkey FROM region""",
         "corner_routing": _route(),
         "ink_bounds": f"""
 WITH p AS (

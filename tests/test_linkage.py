@@ -86,5 +86,54 @@ def test_each_pair_is_used_once(spark):
 
 def test_empty_pairs(spark):
     empty = spark.createDataFrame([], "doc_id long, pair_idx int, label string, value string")
-    fields, left = linkage.classify(empty, spark.createDataFrame([(0, "A")], "target_idx int, name string"), spark.createDataFrame([(0, 0, "a")], "target_idx int, syn_idx int, synonym string"))
+    targets, synonyms = spark.createDataFrame([(0, "A")], "target_idx int, name string"), spark.createDataFrame([(0, 0, "a")], "target_idx int, syn_idx int, synonym string")
+    fields, left = linkage.classify(empty, targets, synonyms)
     assert fields.collect() == [] and left.where(F.lit(True)).collect() == []
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    one = spark.createDataFrame([(2, 0, "A", "x")], empty.schema)
+    fields, _ = linkage.classify(one, targets, synonyms, docs=docs)
+    assert [(r.doc_id, r.value, r.status, r.score) for r in fields.orderBy("doc_id").collect()] == [(1, None, M, 0), (2, "x", R, 100)]
+    none = spark.createDataFrame([], "doc_id long, asg_idx int, field string, label string, value string")
+    fields, left = linkage.classify_with_proposals(empty, none, targets, synonyms, docs=docs)
+    assert [(r.doc_id, r.status) for r in fields.orderBy("doc_id").collect()] == [(1, M), (2, M)] and left.count() == 0
+
+
+def scoped(spark):
+    """Two requests that use the same places for other fields, and a document that both ask for."""
+    pairs = [("r1", 1, 0, "Zone", "Z"), ("r1", 1, 1, "Lot", "3"), ("r2", 1, 0, "Zone", "Z"), ("r2", 1, 1, "Lot", "3"), ("r2", 2, 0, "Lots", "4")]
+    targets = [("r1", 0, "ZONE"), ("r1", 1, "LOT"), ("r2", 0, "LOT"), ("r2", 1, "ZONE")]
+    synonyms = [("r1", 0, 0, "Zone"), ("r1", 1, 0, "Nothing"), ("r2", 0, 0, "Lot"), ("r2", 1, 0, "Other")]
+    frames = [(pairs, "request_id string, doc_id long, pair_idx int, label string, value string"), (targets, "request_id string, target_idx int, name string"), (synonyms, "request_id string, target_idx int, syn_idx int, synonym string"), ([("r1", 1), ("r2", 1), ("r2", 2), ("r2", 3), ("r3", 4)], "request_id string, doc_id long")]
+    return [spark.createDataFrame(*x) for x in frames]
+
+
+def test_requests_are_kept_apart(spark):
+    pairs, targets, synonyms, docs = scoped(spark)
+    proposals = spark.createDataFrame([("r1", 1, 0, "LOT", "Lot", "3"), ("r2", 2, 0, "LOT", "Lots", "4")], "request_id string, doc_id long, asg_idx int, field string, label string, value string")
+    for ask in (lambda p, a, t, s, d: linkage.classify(p, t, s, docs=d), lambda p, a, t, s, d: linkage.classify_with_proposals(p, a, t, s, docs=d)):
+        both = ask(pairs, proposals, targets, synonyms, docs)
+        for i, keys in enumerate((["doc_id", "target_idx"], ["doc_id", "pair_idx"])):
+            for r in ("r1", "r2", "r3"):
+                own = ask(*(x.where(F.col("request_id") == r).drop("request_id") for x in (pairs, proposals, targets, synonyms, docs)))[i]
+                together = both[i].where(F.col("request_id") == r).drop("request_id")
+                assert own.columns == together.columns and own.orderBy(*keys).collect() == together.orderBy(*keys).collect()
+    fields = linkage.classify(pairs, targets, synonyms, docs=docs)[0]
+    assert sorted((r.request_id, r.doc_id, r.name, r.value) for r in fields.where("value is not null").collect()) == [("r1", 1, "ZONE", "Z"), ("r2", 1, "LOT", "3"), ("r2", 2, "LOT", "4")]
+    assert linkage.linkage_misses(fields, linkage.classify(pairs, targets, synonyms, docs=docs)[1], synonyms).count() == 0
+    with pytest.raises(ValueError):
+        linkage.classify(pairs.drop("request_id"), targets, synonyms)
+
+
+def test_codes_are_kept_apart(spark):
+    fields = spark.createDataFrame([("p1", 1, "PHASE", "EXE", R), ("p2", 2, "PHASE", "EXE", R), ("p3", 3, "PHASE", "EXE", R)], "project string, doc_id long, name string, value string, status string")
+    codes = spark.createDataFrame([("p1", "PHASE", 0, "APD", "x"), ("p2", "PHASE", 0, "EXE", "two")], "project string, field string, ord int, code string, libelle string")
+    assert [(r.project, r.status, r.code_label) for r in validation.validate(fields, codes).orderBy("project").collect()] == [("p1", R, None), ("p2", "AUTO_VALIDATED", "two"), ("p3", R, None)]
+    with pytest.raises(ValueError):
+        validation.validate(fields.drop("project"), codes)
+
+
+def test_linkage_plans_have_no_cartesian_product(spark):
+    links = linkage.classify(*scoped(spark)[:3])[0]
+    plans = [links, linkage.candidates(*(scoped(spark)[i] for i in (0, 2)))]
+    for df in plans:
+        assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
