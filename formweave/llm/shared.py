@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formweave.sources.stage import SMALL_ROWS, dropped
+from formweave.sources.stage import staged as checkpointed
+
 #: A word, in Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a session that names none gets one of its own."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage: written as a table in the shared folder and read again.
-
-    Other than ``checkpoint()``, this gives the planner the table's true size, also after many rounds of joins.
-    """
-    path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a checkpointed table that nothing will read any more."""
-    spark = df.sparkSession
-    folder = _shared_folder(spark)
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        if "/tables/" in file and folder.rpartition("/")[2] in file:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
-            return
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,10 +42,6 @@ def slices(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[i
         yield start, run
 
 
-#: Rows up to which a checked table is broadcast.
-SMALL_ROWS = 100_000
-
-
 def with_small(rows: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left") -> DataFrame:
     """``rows`` joined, nulls being equal, with a checkpointed table that has one narrow row per value of the key.
 
@@ -81,3 +49,6 @@ def with_small(rows: DataFrame, small: DataFrame, key: str, small_key: str, how:
     """
     side = F.broadcast(small) if small.count() <= SMALL_ROWS else small
     return rows.join(side, F.col(key).eqNullSafe(F.col(small_key)), how)
+
+
+__all__ = ["SMALL_ROWS", "WORD", "checkpointed", "dropped", "others", "slices", "table", "text_or_empty", "with_small"]
