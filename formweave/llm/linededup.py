@@ -2,8 +2,11 @@
 
 State is two tables. ``refcounts`` holds, for every line key, in how many documents it stands (exact). ``filters``
 holds, per shard of the key space, a cuckoo filter over the keys whose count reached the threshold, with those keys
-themselves. Inserting or deleting documents changes counts, and moves keys into or out of the filters, so that a
-deletion undoes an insertion. Lines are looked up in the filter first; a hit is confirmed by the exact key.
+themselves; the number of shards follows the number of keys. Inserting or deleting documents changes counts, and moves
+keys into or out of the filters, so that a deletion undoes an insertion, and an insertion a deletion: counts may be
+negative in between. Lines are looked up in the filter first; a hit is confirmed by the exact key. Where filters and
+keys are too large to broadcast, filters alone are, in blocks of shards, and only lines with a hit are joined with the
+exact keys.
 
 A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased, held as a 128-bit hash.
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,9 +33,9 @@ from pyspark.sql import types as T
 from formweave.llm.shared import checkpointed, others, slices
 
 BLANKS = b" \t\n\x0b\x0c\r"
-#: Shards of the key space; each has a filter of its own.
-SHARDS = 256
-#: Filters and their keys are broadcast up to this many bytes; beyond it they are joined shard by shard.
+#: Shards of the key space at least, each with a filter of its own, and keys of a shard on average at most.
+SHARDS, SHARD_KEYS = 256, 1 << 15
+#: Filters and their keys are broadcast up to this many bytes; beyond it filters alone are, in blocks of that size.
 BROADCAST_BYTES = 64 << 20
 #: Distinct keys that a task holds before it hands on its partial counts.
 HELD_KEYS = 200_000
@@ -156,25 +160,33 @@ def _row(shard: int, cuckoo: Cuckoo, keys: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"shard": [shard], "n_buckets": [cuckoo.n], "slots": [cuckoo.table.astype("<u2").tobytes()], "keys": [_ordered(keys).astype("<i8").tobytes()]})
 
 
-def _shard() -> Column:
-    return F.pmod(F.col("k0"), F.lit(SHARDS)).cast("int").alias("shard")
+def shards_for(n_keys: int) -> int:
+    """A power of two."""
+    n = SHARDS
+    while n * SHARD_KEYS < n_keys:
+        n *= 2
+    return n
 
 
-def build_filters(refcounts: DataFrame, min_docs: int) -> DataFrame:
+def _shard(n_shards: int) -> Column:
+    return F.pmod(F.col("k0"), F.lit(n_shards)).cast("int").alias("shard")
+
+
+def build_filters(refcounts: DataFrame, min_docs: int, n_shards: int = SHARDS) -> DataFrame:
     """One row per shard that has keys in at least ``min_docs`` documents."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf[["k0", "k1"]].to_numpy(np.int64)
         return _row(int(pdf["shard"].iloc[0]), Cuckoo.for_keys(keys), keys)
 
-    return refcounts.where(F.col("n_docs") >= min_docs).select(_shard(), "k0", "k1").groupBy("shard").applyInPandas(build, _FILTER)
+    return refcounts.where(F.col("n_docs") >= min_docs).select(_shard(n_shards), "k0", "k1").groupBy("shard").applyInPandas(build, _FILTER)
 
 
-def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int) -> DataFrame:
+def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int, n_shards: int = SHARDS) -> DataFrame:
     """``filters`` with the keys that crossed ``min_docs`` between two count tables inserted or deleted."""
     was, now = before.select("k0", "k1", F.col("n_docs").alias("was")), after.select("k0", "k1", F.col("n_docs").alias("now"))
     full = was.join(now, ["k0", "k1"], "full_outer").select("k0", "k1", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("was", "now")))
-    moved = full.where((F.col("was") >= min_docs) != (F.col("now") >= min_docs)).select(_shard(), "k0", "k1", (F.col("now") >= min_docs).alias("enters"))
+    moved = full.where((F.col("was") >= min_docs) != (F.col("now") >= min_docs)).select(_shard(n_shards), "k0", "k1", (F.col("now") >= min_docs).alias("enters"))
 
     def apply(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         if not len(new):
@@ -196,10 +208,10 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_
 
 
 class Lookup:
-    """All shards side by side, for whole arrays of keys."""
+    """Shards side by side, for whole arrays of keys."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes, bytes]]):
-        self.buckets, self.at = np.ones(SHARDS, np.int64), np.zeros(SHARDS, np.int64)
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]], n_shards: int):
+        self.n_shards, self.buckets, self.at = n_shards, np.ones(n_shards, np.int64), np.zeros(n_shards, np.int64)
         slots, at = [np.zeros((1, SLOTS), np.uint16)], 1  # shards without keys look into the first, empty bucket
         for shard, n, table, _ in rows:
             self.buckets[shard], self.at[shard] = n, at
@@ -210,17 +222,20 @@ class Lookup:
         self.keys = np.ascontiguousarray(keys).view([("a", "<i8"), ("b", "<i8")]).reshape(-1)
         self.keys = np.sort(self.keys, order=["a", "b"])
 
-    def holds(self, joined: bytes) -> np.ndarray:
+    def maybe(self, joined: bytes) -> np.ndarray:
+        """Which keys the filters hold, or take for one that they hold."""
         keys = _two_longs(joined)
-        shard = np.mod(keys[:, 0], SHARDS)
+        shard = np.mod(keys[:, 0], self.n_shards)
         mark, one, two = Cuckoo.places(keys, self.buckets[shard])
         at = self.at[shard]
-        maybe = ((self.slots[at + one] == mark[:, None]) | (self.slots[at + two] == mark[:, None])).any(axis=1)
-        out = np.zeros(len(keys), bool)
-        if maybe.any() and len(self.keys):
-            asked = np.ascontiguousarray(keys[maybe]).view(self.keys.dtype).reshape(-1)
+        return ((self.slots[at + one] == mark[:, None]) | (self.slots[at + two] == mark[:, None])).any(axis=1)
+
+    def holds(self, joined: bytes) -> np.ndarray:
+        out = self.maybe(joined)
+        if out.any() and len(self.keys):
+            asked = np.ascontiguousarray(_two_longs(joined)[out]).view(self.keys.dtype).reshape(-1)
             place = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            out[maybe] = self.keys[place] == asked
+            out[out] = self.keys[place] == asked
         return out
 
 
@@ -235,16 +250,22 @@ class LineIndex:
     refcounts: DataFrame
     filters: DataFrame
     min_docs: int = 10
+    n_shards: int = SHARDS
 
     @staticmethod
     def build(docs: DataFrame, min_docs: int = 10, text: str = "text") -> LineIndex:
         refcounts = count_lines(docs, text)
-        return LineIndex(refcounts, build_filters(refcounts, min_docs), min_docs)
+        frequent = checkpointed(refcounts.where(F.col("n_docs") >= min_docs))
+        n_shards = shards_for(frequent.count())
+        return LineIndex(refcounts, build_filters(frequent, min_docs, n_shards), min_docs, n_shards)
 
     def _changed(self, docs: DataFrame, sign: int, text: str) -> LineIndex:
         delta = count_lines(docs, text).select("k0", "k1", (F.col("n_docs") * sign).alias("n_docs"))
-        after = checkpointed(self.refcounts.unionByName(delta).groupBy("k0", "k1").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") > 0))
-        return LineIndex(after, checkpointed(update_filters(self.filters, self.refcounts, after, self.min_docs)), self.min_docs)
+        after = checkpointed(self.refcounts.unionByName(delta).groupBy("k0", "k1").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") != 0))
+        n_shards = shards_for(after.where(F.col("n_docs") >= self.min_docs).count())
+        if n_shards > self.n_shards:
+            return LineIndex(after, checkpointed(build_filters(after, self.min_docs, n_shards)), self.min_docs, n_shards)
+        return LineIndex(after, checkpointed(update_filters(self.filters, self.refcounts, after, self.min_docs, self.n_shards)), self.min_docs, self.n_shards)
 
     def insert(self, docs: DataFrame, text: str = "text") -> LineIndex:
         return self._changed(docs, 1, text)
@@ -256,7 +277,7 @@ class LineIndex:
         """``docs`` without the lines of the filters' keys, with ``n_lines`` and ``n_dropped``."""
         filters = checkpointed(self.filters)
         size = filters.agg(F.sum(F.length("slots") + F.length("keys"))).first()[0] or 0
-        return self._broadcast(filters, docs, text) if size <= broadcast_bytes else self._joined(filters, docs, text)
+        return self._broadcast(filters, docs, text) if size <= broadcast_bytes else self._joined(filters, docs, text, broadcast_bytes)
 
     def _broadcast(self, filters: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         spark = docs.sparkSession
@@ -264,10 +285,11 @@ class LineIndex:
         keep = others(docs, "n_lines", "n_dropped")
         schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         made: list[Lookup] = []
+        n_shards = self.n_shards
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not made:
-                made.append(Lookup(rows.value))
+                made.append(Lookup(rows.value, n_shards))
             for batch in batches:
                 column = batch.column(keep.index(text))
                 for start, part in slices(v.as_py() for v in column):
@@ -290,21 +312,47 @@ class LineIndex:
 
         return docs.select(*keep).mapInArrow(run, schema)
 
-    def _joined(self, filters: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-        """The way for filters too large to broadcast: lines meet the shards' keys in a join that AQE may split."""
+    def _blocks(self, filters: DataFrame, most: int) -> list[list[int]]:
+        """Runs of shards whose filters have ``most`` bytes at most, or are one shard."""
+        out, size = [], most
+        for shard, n in sorted(tuple(r) for r in filters.select("shard", F.length("slots")).collect()):
+            if size + n > most:
+                out.append([])
+                size = 0
+            out[-1].append(shard)
+            size += n
+        return out
+
+    def _joined(self, filters: DataFrame, docs: DataFrame, text: str, most: int) -> DataFrame:
+        """The way for filters too large to broadcast with their keys: lines with a hit meet the exact keys in a join."""
         keep = others(docs, "n_lines", "n_dropped")
         rows = checkpointed(docs.select(*keep).withColumn("__row", F.monotonically_increasing_id()))
-
-        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row, value in zip(batch.column(0), batch.column(1), strict=True):
-                    own: dict[bytes, list[int]] = {}
-                    for i, k in enumerate(line_keys(value.as_py() or "")[1]):
-                        if k:
-                            own.setdefault(k, []).append(i)
-                    if own:
-                        keys = _two_longs(b"".join(own))
-                        yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(own)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(own.values()), pa.list_(pa.int32()))], names=["__row", "k0", "k1", "at"])
+        n_shards = self.n_shards
+
+        def hits(block: list[int]) -> DataFrame:
+            own = filters.where(F.col("shard").isin(block)).select("shard", "n_buckets", "slots").collect()
+            shared = docs.sparkSession.sparkContext.broadcast([(*r, b"") for r in own])
+            made: list[Lookup] = []
+
+            def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if not made:
+                    made.append(Lookup(shared.value, n_shards))
+                for batch in batches:
+                    for row, value in zip(batch.column(0), batch.column(1), strict=True):
+                        own: dict[bytes, list[int]] = {}
+                        for i, k in enumerate(line_keys(value.as_py() or "")[1]):
+                            if k:
+                                own.setdefault(k, []).append(i)
+                        if not own:
+                            continue
+                        joined = b"".join(own)
+                        may = made[0].maybe(joined)
+                        if may.any():
+                            keys = _two_longs(joined)[may]
+                            at = [x for x, m in zip(own.values(), may.tolist(), strict=True) if m]
+                            yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(at)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(at, pa.list_(pa.int32()))], names=["__row", "k0", "k1", "at"])
+
+            return checkpointed(rows.select("__row", text).mapInArrow(lines, "__row long, k0 long, k1 long, at array<int>"))
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -312,7 +360,7 @@ class LineIndex:
                     keys = _two_longs(value.as_py())
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], names=["k0", "k1"])
 
-        found = rows.select("__row", text).mapInArrow(lines, "__row long, k0 long, k1 long, at array<int>")
+        found = reduce(DataFrame.unionByName, [hits(block) for block in self._blocks(filters, most)])
         drop = found.join(filters.select("keys").mapInArrow(exact, "k0 long, k1 long"), ["k0", "k1"], "left_semi")
         drop = drop.groupBy("__row").agg(F.flatten(F.collect_list("at")).alias("__drop"))
         split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)

@@ -39,7 +39,31 @@ def test_against_brute_force(docs):
 
 def test_way_without_broadcast(docs):
     index = linededup.LineIndex.build(docs, 2)
-    same(result(index.apply(docs, broadcast_bytes=-1)), expected(docs, 2))
+    same(result(index.apply(docs, broadcast_bytes=-1)), expected(docs, 2))  # a block for every shard
+    same(result(index.apply(docs, broadcast_bytes=100)), expected(docs, 2))
+    assert 1 < len(index._blocks(index.filters, 100)) < index.filters.count()
+    # a filter that holds nothing lets no line through to the exact keys
+    empty = index.filters.withColumn("slots", F.lit(bytes(8))).withColumn("n_buckets", F.lit(1))
+    for most in (-1, 1 << 30):
+        assert sum(x[1] for x in result(linededup.LineIndex(index.refcounts, empty, 2).apply(docs, broadcast_bytes=most)).values()) == 0
+
+
+def test_shards_grow_with_keys(docs, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARDS", 2)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 8)
+    index = linededup.LineIndex.build(docs.where("doc_id % 4 = 0"), 2)
+    grown = index.insert(docs.where("doc_id % 4 <> 0"))
+    assert 2 <= index.n_shards < grown.n_shards
+    for most in (-1, 1 << 30):
+        same(result(grown.apply(docs, broadcast_bytes=most)), expected(docs, 2))
+
+
+def test_deletion_before_insertion(docs):
+    some = docs.where("doc_id % 3 = 0")
+    index = linededup.LineIndex.build(docs, 3)
+    back = index.delete(some).delete(some).insert(some).insert(some)
+    assert sorted(map(tuple, back.refcounts.collect())) == sorted(map(tuple, index.refcounts.collect()))
+    same(result(back.apply(docs)), expected(docs, 3))
 
 
 def test_deletion_undoes_insertion(docs):
