@@ -73,4 +73,20 @@ def test_odd_tables(spark, empty):
     odd = spark.createDataFrame([(None, None, 1), (5, "", 2), (7, "a b c d", 3), (7, "a b c d", 3), (9, "A  b\tC d", 4)], "doc_id long, text string, fp long")
     found = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(odd).collect())
     assert found == [(0, 5), (5, 5), (7, 7), (7, 7), (9, 7)]
-    assert sorted(r.doc_id or 0 for r in simhash.drop_near_duplicates(odd).collect()) == [0, 5, 7]
+    assert sorted(r.doc_id or 0 for r in simhash.drop_near_duplicates(odd).collect()) == [5, 7]
+    alone = spark.createDataFrame([(None, "x y z one two", 1), (None, "x y z one two", 1), (3, "p q r s t", 2), (3, "quite other words than those", 2)], "doc_id long, text string, fp long")
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in simhash.drop_near_duplicates(alone).collect()) == [(0, "x"), (3, "p"), (3, "q")]
+
+
+def test_large_buckets_are_split(spark):
+    rng = np.random.default_rng(8)
+    half = int(rng.integers(0, 2**32))
+    near = [(half ^ (1 << int(rng.integers(0, 4))) * int(rng.integers(0, 2))) << 32 | int(x) for x in rng.integers(0, 2**15, 1200) * 2**11]
+    prints = sorted({p - 2**64 if p >= 2**63 else p for p in near})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    assert simhash._hot(df, 64).agg({"n_own": "max", "n_other": "max"}).first()[0] > 4
+    split, whole = ({r.fp: r.label for r in simhash.fingerprint_components(df, n).collect()} for n in (64, 1 << 20))
+    comps = brute_components([p % 2**64 for p in prints], list(range(len(prints))))
+    assert len(set(comps)) > 1
+    for found in (split, whole):
+        assert len({(found[p], c) for p, c in zip(prints, comps, strict=True)}) == len(set(comps)) == len(set(found.values()))
