@@ -5,8 +5,11 @@ size, and matched in bulk-synchronous sweeps: in a sweep, all pieces of the long
 the smallest gap that holds them; pieces that want the same gaps are settled by rank (the r-th piece takes the r-th
 gap); the gaps shrink; and the sweep repeats. Sizes are integers up to ``SEQUENCE``, so the ordered pieces are runs
 of equal size, and a sweep works on whole runs: what the driver handles is a histogram of at most ``SEQUENCE``
-numbers, whatever the number of documents. Ranks are computed in Spark, runs being split over ``SALTS`` tasks, and
-each piece then finds its sequence by rank in the plan of the sweeps.
+numbers, whatever the number of documents.
+
+A piece's rank among those of its length is its place in its task plus the pieces of that length in the tasks before.
+Tasks number their pieces as they cut them, and Spark adds up the counts, one row per task and length: pieces are
+neither shuffled nor sorted. Each piece then finds its sequence by its rank in the plan of the sweeps.
 
 Defined results: a null or empty text is one piece that holds the end id alone; repeated rows are packed each; null
 ``doc_id`` values pass through; an empty table gives an empty table. Only ``doc_id`` and the text are read, so other
@@ -28,14 +31,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.shared import checkpointed, slices
+from formweave.llm.shared import SMALL_ROWS, checkpointed, slices
 
 SEQUENCE = 2048
 END_ID = 0
-SALTS = 128
 #: Chunks of text whose ids a worker remembers, and the longest remembered.
 REMEMBERED, REMEMBERED_CHARS = 150_000, 40
 _BLANK = re.compile("[ \t\r\n]+")
@@ -138,15 +141,19 @@ def default_tokenizer() -> str:
 
 
 def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` on demand) of every document."""
+    """``doc_id, piece, start, length, ids_crc32, part, place`` (and ``ids`` on demand) of every document.
+
+    ``place`` counts the pieces of a length within the task ``part``, from 0.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
         end = np.array([END_ID], "<u4").tobytes()
+        part_id, seen = TaskContext.get().partitionId(), [0] * (sequence + 1)
         for batch in batches:
             for start, part in slices((v.as_py() for v in batch.column(1)), 1 << 18):
-                row, piece, at, length, crc, ids = [], [], [], [], [], []
+                row, piece, at, length, crc, place, ids = [], [], [], [], [], [], []
                 for i, own in enumerate(encode(part)):
                     own = (own if sys.byteorder == "little" else np.frombuffer(own, ">u4").astype("<u4").tobytes()) + end
                     for k, a in enumerate(range(0, len(own), 4 * sequence)):
@@ -154,14 +161,17 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, se
                         row.append(start + i)
                         piece.append(k)
                         at.append(a // 4)
-                        length.append(len(cut) // 4)
+                        n = len(cut) // 4
+                        length.append(n)
+                        place.append(seen[n])
+                        seen[n] += 1
                         crc.append(zlib.crc32(cut))
                         if with_ids:
                             ids.append(np.frombuffer(cut, "<u4").astype(np.int32))
-                arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, length, crc))]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, length, crc)), pa.array([part_id] * len(row), pa.int32()), pa.array(place, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", *(["ids"] if with_ids else [])])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", F.col(text)).mapInArrow(run, schema)
 
 
@@ -188,47 +198,46 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> np.ndarray:
                 put(sequence, opened, number)
                 opened += number
                 continue
-            size = sizes[at]
-            first, number = gaps[size].pop()
-            if not gaps[size]:
-                sizes.pop(at)
-            taken = min(number, left)
-            out.append((length, rank, taken, first, sequence - size))
-            if taken < number:
-                put(size, first + taken, number - taken)
-            if size > length:
-                put(size - length, first, taken)
-            rank += taken
-            left -= taken
+            size = sizes.pop(at)
+            runs, gaps[size] = gaps[size], []
+            for first, number in runs:  # the r-th piece takes the r-th gap
+                taken = min(number, left)
+                if taken:
+                    out.append((length, rank, taken, first, sequence - size))
+                    if size > length:
+                        put(size - length, first, taken)
+                if taken < number:
+                    put(size, first + taken, number - taken)
+                rank += taken
+                left -= taken
     return np.array(out, np.int64).reshape(-1, 5)
 
 
 def pack(docs: DataFrame, text: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Every piece with ``sequence_id`` and ``offset``; pieces of a sequence follow each other without gaps."""
-    cut = pieces(docs, text, tokenizer, sequence, with_ids).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    cut = checkpointed(cut)  # ranks need pieces that do not change when a task is run again
-    counts = np.zeros((sequence + 1, SALTS), np.int64)  # bounded by sequence and salts
-    for r in cut.groupBy("length", "salt").count().collect():
-        counts[r[0], r[1]] = r[2]
-    moves = plan({n: c for n, c in enumerate(counts.sum(axis=1).tolist()) if c}, sequence)
-    before = np.cumsum(counts, axis=1) - counts
+    cut = checkpointed(pieces(docs, text, tokenizer, sequence, with_ids))  # places must not change when a task is run again
+    counts = checkpointed(cut.groupBy("length", "part").agg(F.count("*").alias("n")))  # a row per task and length
+    moves = plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, sequence)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    before = checkpointed(counts.select("length", "part", before.alias("before")))
+    ranked = cut.join(F.broadcast(before) if before.count() <= SMALL_ROWS else before, ["length", "part"])
     # a plan's rows are at most the pairs of piece size and gap size that meet, so bounded by the sequence length
-    shared = docs.sparkSession.sparkContext.broadcast((before, moves))
-    ranked = cut.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")).cast("long"))
-    names = [c for c in cut.columns if c != "salt"]
+    shared = docs.sparkSession.sparkContext.broadcast(moves)
+    names = [c for c in cut.columns if c not in ("part", "place")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, moves = shared.value
+        moves = shared.value
         base = int(moves[:, 1].max(initial=0) + moves[:, 2].max(initial=0)) + 1
         starts = moves[:, 0] * base + moves[:, 1]
         order = np.argsort(starts, kind="stable")
         starts, ordered = starts[order], moves[order]
         for batch in batches:
-            length, salt, place = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "place"))
-            rank = before[length, salt] + place - 1
+            length, rank = batch.column(len(names) - 1).to_numpy(), batch.column(len(names)).to_numpy()
             move = ordered[np.searchsorted(starts, length * base + rank, "right") - 1]
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            arrays = [batch.column(names_at[c]) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(move[:, 3] + rank - move[:, 1]), pa.array(move[:, 4])], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{n} {k}" for n, k in cut.dtypes if n != "salt") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema.replace("offset", "`offset`"))
+    asked = [c for c in names if c != "length"]
+    names_at = {c: i for i, c in enumerate([*asked, "length"])}
+    schema = ", ".join(f"{n} {k}" for n, k in cut.dtypes if n in names) + ", sequence_id long, offset long"
+    return ranked.select(*asked, "length", (F.col("place") + F.col("before")).alias("rank")).mapInArrow(run, schema.replace("offset", "`offset`"))

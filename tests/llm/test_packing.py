@@ -59,6 +59,41 @@ def test_plan_is_best_fit_decreasing(lengths):
         else:
             gaps.append(40 - n)
     assert len(used) <= len(gaps)
+    assert sorted(sum(x for _, x in s) for s in used.values()) == sorted(40 - g for g in swept(lengths, 40) if g < 40)
+
+
+def swept(lengths, size):
+    """What remains of each gap, piece by piece: sweeps over the longest pieces left, each gap of the successor size taking one."""
+    gaps = []
+    for n in sorted(set(lengths), reverse=True):
+        left = lengths.count(n)
+        while left:
+            fit = [g for g in gaps if g >= n]
+            if not fit:
+                gaps += [size] * -(-left // (size // n))
+                continue
+            own = [i for i, g in enumerate(gaps) if g == min(fit)][:left]
+            for i in own:
+                gaps[i] -= n
+            left -= len(own)
+    return gaps
+
+
+def test_whole_placement_against_sweeps_by_piece(docs):
+    rows = packing.pack(docs.repartition(7), sequence=64).collect()
+    filled = {}
+    for r in rows:
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+    assert sorted(filled.values()) == sorted(64 - g for g in swept([r.length for r in rows], 64))
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_a_very_long_text_and_hot_lengths(spark):
+    texts = ["word " * 30_000, *["same text"] * 500, *["other, text"] * 300, "x" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(9)
+    rows = packing.pack(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and {r.doc_id for r in rows} == set(range(len(texts)))
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 2048)
 
 
 def test_odd_tables(spark, empty):
