@@ -20,6 +20,7 @@ values pass through; an empty table gives an empty table; only ``doc_id`` and th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,11 +41,17 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 LAMBDA, FALSE_SHARE = 0.5, 0.05
 CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
 
+#: Matches whose places are added up at once.
+RUN = 256
 _SPANS = "array<struct<start:bigint,end:bigint,value:string,part:string>>"
 
 
 def _located(text: str, pattern: str, matches: str, parts: Column | None = None) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches, which column ``matches`` holds, in code points."""
+    """Spans of a pattern's leftmost non-overlapping matches, which column ``matches`` holds, in code points.
+
+    The text between matches gives the places. They are added up within runs of ``RUN`` matches and then from run to
+    run, so that a text with many matches does not copy a growing array at every one.
+    """
     between = F.split(F.col(text), pattern, -1)
     both = F.arrays_zip(between.alias("before"), F.col(matches).alias("value"), *([parts.alias("part")] if parts is not None else []))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -55,10 +62,26 @@ def _located(text: str, pattern: str, matches: str, parts: Column | None = None)
         span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value"), (x["part"] if parts is not None else x["value"]).alias("part"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(both, start, step, lambda acc: acc["out"])
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct((span["start"] + by).alias("start"), (span["end"] + by).alias("end"), span["value"].alias("value"), span["part"].alias("part"))
+
+    def in_runs(known: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(known) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(known, i * RUN + 1, F.lit(RUN)), start, step))
+        return _once(runs, joined)
+
+    def joined(runs: Column) -> Column:
+        starts = F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + r["at"]))
+        return _once(starts, lambda at: F.flatten(F.transform(runs, lambda r, i: F.transform(r["out"], lambda s: moved(s, F.get(at, i))))))
+
+    found = F.when(F.size(matches) < RUN, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(_once(both, in_runs))
     return F.when(F.size(matches) > 0, F.filter(found, lambda s: s["value"].isNotNull())).otherwise(F.array().cast(_SPANS))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a lambda would compute what it captures at every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``assign``, ``access``, ``hex``: arrays of spans with their text."""
     rows = docs.withColumn("__t", text_or_empty(text))

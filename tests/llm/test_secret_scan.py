@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -38,6 +39,77 @@ def test_base_against_brute_force(spark, docs):
         assert [x for x in r.spans.split(",") if x and not x.startswith("random")] == [x for x in listed(base).split(",") if x]
 
 
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["token=abcdefghijklm%d é " % i, "0123456789abcdef%d\n" % i, "😀 "]) for i in range(n)) for n in (255, 256, 257, 511, 513, 9000)]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert r.base_sha256 == hashlib.sha256(listed(brute_base(texts[r.doc_id])).encode()).hexdigest()
+
+
+def upper(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def brute_p(token):
+    """The least of five p-values by their textbook formulas, and Sidak's rule over four."""
+    kind = "hex" if re.fullmatch("[0-9a-fA-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+=*", token) else "base64"
+    bare = (token.lower() if kind == "hex" else token.replace("_", "/").replace("-", "+")).rstrip("=")
+    alphabet = secret_scan.ALPHABETS[kind]
+    x, n, k = [alphabet.index(c) for c in bare], len(bare), len(alphabet)
+    chi = sum((x.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+    df = k - 1
+    uniform = upper(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    big, small = sum(c.isupper() for c in bare), sum(c.islower() for c in bare)
+    if kind == "base64":
+        cells = [(big, 26), (small, 26), (n - big - small, 12)]
+        pooled = math.exp(-sum((o - n * w / 64) ** 2 / (n * w / 64) for o, w in cells) / 2)
+    else:
+        e = n * 6 / 16 if kind == "hex" else n * 26 / 32
+        pooled = 2 * upper(math.sqrt((big + small - e) ** 2 / e + (n - big - small - (n - e)) ** 2 / (n - e)))
+    middle = (k - 1) / 2
+    changes = sum((a > middle) != (b > middle) for a, b in zip(x, x[1:], strict=False))
+    runs = 2 * upper(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    serial = 2 * upper(abs(sum((a - middle) * (b - middle) for a, b in zip(x, x[1:], strict=False))) / ((k * k - 1) / 12 * math.sqrt(n - 1)))
+    return kind, int(math.log2(n)), 1 - (1 - min(uniform, pooled, runs, serial)) ** 4
+
+
+def test_battery_against_textbook_formulas(spark):
+    rng = random.Random(7)
+    tokens = ["".join(rng.choice(secret_scan.ALPHABETS[kind]) for _ in range(rng.randint(16, 90))) for kind in ("base32", "base64") for _ in range(25)]
+    tokens += ["DEADBEEF0123456789ABCDEFAA", "internationalization", "AAAABBBBCCCCDDDDEEEE", "abc-def_ghi-jkl_mno-pqr", "QUJDREVGR0hJSktMTU5PUFFSU1RVVg=="]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string")
+    found = {r.doc_id: r.found for r in secret_scan.candidates(secret_scan.base_spans(df)).select("doc_id", "found").collect()}
+    held = 0
+    for i, t in enumerate(tokens):
+        for c in found[i]:
+            kind, band, p = brute_p(t)
+            assert (c["kind"], c["band"], c["start"], c["end"]) == (kind, band, 4, 4 + len(t)) and math.isclose(c["p"], p, abs_tol=2e-6), t
+            held += 1
+    assert held >= 50
+
+
+def brute_cuts(candidates):
+    out = {}
+    for key in {c[:2] for c in candidates}:
+        p = [c[2] for c in candidates if c[:2] == key]
+        n_random = sum(x > 0.5 for x in p) / 0.5
+        for t in (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1):
+            accepted = sum(x > t for x in p)
+            if accepted and max(0, accepted - n_random * (1 - t)) <= 0.05 * accepted:
+                out[key] = t
+                break
+    return out
+
+
+def test_cuts_against_brute_force(spark):
+    rng = random.Random(3)
+    for share in (0.0, 0.2, 0.6, 0.95):
+        rows = [(kind, band, rng.random() if rng.random() >= share else rng.random() ** 6) for kind in ("hex", "base64") for band in (4, 5) for _ in range(200)]
+        df = spark.createDataFrame([(rows,)], "found array<struct<kind:string,band:int,p:double>>")
+        assert secret_scan.cuts(df) == brute_cuts(rows)
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     rng = random.Random(4)
     words = ["internationalization", "Undschkeitberlichkeit", "electroencephalographer", "the_quick_brown_fox_jumps", "HELLOWORLDTHISISATEST", "configuration/settings/default"]
