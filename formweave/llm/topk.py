@@ -14,9 +14,9 @@ worked on in blocks of ``BLOCK`` (a block is broadcast, and so bounded); every b
 Each task gives a query's best k, and a window takes the best k of those. Nothing is approximate.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without ``vec_id``, take no
-part; shorter vectors count as padded with zeros; rows that repeat a ``vec_id`` are not partners of each other, and a
-repeated query is asked once, with its least vector; an empty table gives an empty table; further columns are not
-read. Scores must fit 63 bits.
+part; shorter vectors count as padded with zeros; rows that repeat a ``vec_id`` are rows of their own: a query's own row
+alone is no partner of it, and a repeated query is asked for each of its rows; an empty table gives an empty table;
+further columns are not read. Scores must fit 63 bits.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ BLOCK, HEAD, SAMPLE, PART, TILE = 8192, 2048, 2048, 16, 2048
 
 
 def whole_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, v, norm``: usable rows as whole numbers, with their squared length."""
+    """``row, vec_id, v, norm``: usable rows as whole numbers, with a number of their own and their squared length."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = rows.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & ~odd)
     v = F.transform(vector, lambda x: F.floor(SCALE * x.cast("double")).cast("long"))
-    out = usable.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    out = usable.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     return out.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
@@ -65,8 +65,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Block:
     """A block of queries, their thresholds and their best partners so far."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, basis: np.ndarray, k: int):
-        self.ids, self.q, self.basis, self.k = ids, q, basis, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, basis: np.ndarray, k: int):
+        self.rows, self.ids, self.q, self.basis, self.k = rows, ids, q, basis, k
         turned = q @ basis
         self.length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
         self.first = turned[:, :PART]
@@ -80,7 +80,7 @@ class Block:
     def wanted(self, longest: float) -> np.ndarray:
         return np.flatnonzero(self.length * longest + self._slack(longest) >= self.least)
 
-    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
+    def meet(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
         length = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
         active = self.wanted(float(length.max(initial=0)))
         if not len(active):
@@ -88,7 +88,7 @@ class Block:
         turned = v @ self.basis
         bound = self.first[active] @ turned[:, :PART].T
         bound += np.outer(self.rest[active], np.sqrt((turned[:, PART:] ** 2).sum(axis=1)))
-        may = (bound + self._slack(float(length.max()))[active, None] >= self.least[active, None]) & (self.ids[active, None] != ids[None, :])
+        may = (bound + self._slack(float(length.max()))[active, None] >= self.least[active, None]) & (self.rows[active, None] != rows[None, :])
         if may.mean() > 0.05:
             full = _products(self.q[active], v)
             score_of = lambda i, at: full[i, at]
@@ -107,26 +107,27 @@ class Block:
             if len(order) == self.k:
                 self.least[own] = max(self.least[own], float(score[order[-1]]))
 
-    def rows(self) -> pa.RecordBatch:
+    def found(self) -> pa.RecordBatch:
         n = [len(s) for s, _ in self.best.values()]
         joined = [np.concatenate(x) if n else np.zeros(0, np.int64) for x in ([s for s, _ in self.best.values()], [w for _, w in self.best.values()])]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[list(self.best)], n)), pa.array(joined[1]), pa.array(joined[0])], names=["query_id", "vec_id", "score"])
+        own = list(self.best)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.rows[own], n)), pa.array(np.repeat(self.ids[own], n)), pa.array(joined[1]), pa.array(joined[0])], names=["query_row", "query_id", "vec_id", "score"])
 
 
 def _pass(candidates: DataFrame, block: Block, size: int) -> DataFrame:
-    shared = candidates.sparkSession.sparkContext.broadcast((block.ids, block.q, block.basis, block.k, block.least))
+    shared = candidates.sparkSession.sparkContext.broadcast((block.rows, block.ids, block.q, block.basis, block.k, block.least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, basis, k, least = shared.value
-        own = Block(ids, q, basis, k)
+        rows, ids, q, basis, k, least = shared.value
+        own = Block(rows, ids, q, basis, k)
         own.least = least.copy()
         for batch in batches:  # sorted by descending length
             for at in range(0, batch.num_rows, TILE):
                 tile = batch.slice(at, TILE)
-                own.meet(tile.column(0).to_numpy(), _matrix(tile.column(1).to_pylist(), size))
-        yield own.rows()
+                own.meet(tile.column(0).to_numpy(), tile.column(1).to_numpy(), _matrix(tile.column(2).to_pylist(), size))
+        yield own.found()
 
-    return candidates.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.select("row", "vec_id", "v").mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -140,19 +141,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     head = candidates.orderBy(F.desc("norm"), "vec_id").limit(HEAD).collect()
     sample = candidates.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v").collect()
     basis = rotation(_matrix([r.v for r in sample], size))
-    queries = checkpointed(candidates.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
+    queries = checkpointed(candidates.where(is_query).select("row", "vec_id", "v"))
     n_blocks = max(1, -(-queries.count() // BLOCK))
     found = None
     for b in range(n_blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()
-        block = Block(np.array([r.vec_id for r in own], np.int64), _matrix([r.v for r in own], size), basis, k)
+        own = queries.where(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == b).collect()
+        block = Block(*(np.array([r[c] for r in own], np.int64) for c in ("row", "vec_id")), _matrix([r.v for r in own], size), basis, k)
         if own and head:
-            block.meet(np.array([r.vec_id for r in head], np.int64), _matrix([r.v for r in head], size))
+            block.meet(*(np.array([r[c] for r in head], np.int64) for c in ("row", "vec_id")), _matrix([r.v for r in head], size))
         part = _pass(candidates, block, size)
         found = part if found is None else checkpointed(_best(found.unionByName(part), k).drop("rank"))
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.select("query_row", "query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

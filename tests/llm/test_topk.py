@@ -10,9 +10,9 @@ SCHEMA = "vec_id long, embedding array<float>"
 def brute(rows, k):
     usable = [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in usable:
+    for at, (q, a) in enumerate(usable):
         if q % 5 == 0:
-            scores = sorted((-int(a @ b), i) for i, b in usable if i != q)[:k]
+            scores = sorted((-int(a @ b), i) for j, (i, b) in enumerate(usable) if j != at)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
@@ -52,5 +52,7 @@ def test_odd_tables(spark):
     data = [(0, [1.0, 2.0]), (5, None), (10, [None, 1.0]), (15, [float("nan"), 1.0]), (20, [float("inf"), 1.0]), (3, [1.0, 2.0]), (4, [0.0, 0.0]), (None, [1.0, 1.0])]
     found = topk.top_k(spark.createDataFrame([(*r, 1) for r in data], SCHEMA + ", score long"), F.col("vec_id") % 5 == 0).collect()
     assert sorted(map(tuple, found)) == brute(data, 5)
-    found = topk.top_k(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (2, [2.0, 5.0])], SCHEMA), F.col("vec_id") % 5 == 0).collect()
-    assert sorted(map(tuple, found)) == [(0, 1, 2, 256 * 512)]
+    twice = [(0, [1.0]), (0, [1.0]), (0, [3.0, 1.0]), (2, [2.0, 5.0])]
+    found = topk.top_k(spark.createDataFrame(twice, SCHEMA), F.col("vec_id") % 5 == 0).collect()
+    pad = [(i, [*v, 0.0][:2]) for i, v in twice]
+    assert sorted(map(tuple, found)) == brute(pad, 5) and len(found) == 9
