@@ -13,8 +13,9 @@ of letters and blanks in the text, 0.05 at least.
 
 Defined results: a null text has size 0 and a document of size 0 is taken for 0 words; null sources form one source,
 the last in order; null ``doc_id`` values and repeated rows are drawn like others (the key hashes id and text); an
-empty table gives an empty table. Rows equal in id and text have equal keys and are drawn together. The operator
-reads ``doc_id``, source and text only.
+empty table gives an empty table. Rows equal in id and text have equal keys and are drawn together, all or none, so
+that a source may miss its target by half the words of such a block (of a single document else). The operator reads
+``doc_id``, source and text only.
 """
 
 from __future__ import annotations

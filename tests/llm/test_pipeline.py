@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import corpus_pipeline
@@ -43,3 +48,16 @@ def test_run(spark, sf_dir):
 def test_empty_documents(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_broken_subpackage_is_an_error(tmp_path):
+    here = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    shutil.copytree(f"{here}/formweave", tmp_path / "formweave", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert run().stdout.split() == ["True"]
+    broken = tmp_path / "formweave/llm/queries.py"
+    broken.write_text("import a_library_that_is_not_there\n" + broken.read_text())
+    assert "a_library_that_is_not_there" in run().stderr
+    shutil.rmtree(tmp_path / "formweave/llm")
+    assert run().stdout.split() == ["False"]
