@@ -70,3 +70,20 @@ def test_odd_tables(spark):
     circle = spark.createDataFrame([(1, 1, 2, 0.0, "user", "a"), (1, 2, 1, 0.0, "user", "b"), (1, 3, None, None, "user", "c"), (1, 3, None, None, "user", "d")], SCHEMA)
     assert [r.formatted for r in chat.format_trees(circle).collect()] == ["<|user|>\nc<|end|>\n"]
     assert chat.linear_turns(odd.where(F.lit(False))).collect() == []
+
+
+def test_very_long_texts_and_rows_without_conversation(spark):
+    long = "</s>[INST] <|end|>\\ é😀\n" * 15_000
+    rows = [(7, 0, "user", long), (7, 1, "assistant", long), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (8, 0, None, None)]
+    found = chat.read_back(chat.format_trees(chat.linear_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    got = {r.tree: ([(t.role, t.text) for t in r.turns], r.loss) for r in found.collect()}
+    assert got == {7: ([("user", long), ("assistant", long)], long), None: ([("user", "a"), ("assistant", "b"), ("assistant", "b")], "bb"), 8: ([("", "")], "")}
+
+
+def test_the_query_adds_its_conversation(spark, tmp_path):
+    from formweave.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = queries.op8_chat_formatting(spark, str(tmp_path))
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in df.collect()} == {1: (1, 0), -1: (2, 21)}
+    assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
