@@ -8,8 +8,9 @@ drawn by hash): about ``SAMPLE_ROWS``, and ``LANGUAGE_ROWS`` of each language at
 
 Rejection is calibrated on the held part too. A softmax over known languages is often sure of an unknown one, so a
 text is also held against its predicted language: the mean log-frequency of its n-grams in that language's sample,
-whose distance from the language's median shrinks as 1/sqrt(n), is taken times sqrt(n). Documents whose distance is
-further below the median than ``REJECT_WIDTH`` quartile distances of the held documents are rejected, as are those
+whose distance from the language's median shrinks as 1/sqrt(n), is taken times sqrt(n); n counts up to ``typical``,
+the held documents' median, as long documents differ by their subject however long they are. Documents whose distance
+is further below the median than ``REJECT_WIDTH`` quartile distances of the held documents are rejected, as are those
 whose confidence is below that which ``REJECT_SHARE`` of the held documents fall short of (0.5 at most).
 
 At scoring time embeddings and layer are multiplied out, so that a text's score is the mean of table rows. Texts of
@@ -47,7 +48,7 @@ SAMPLE_BYTES = 256 << 20
 LONG = 1 << 20
 EPOCHS = 6
 RATE = 0.5
-REJECT_SHARE, REJECT_WIDTH = 0.001, 20.0
+REJECT_SHARE, REJECT_WIDTH = 0.001, 60.0
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -93,6 +94,8 @@ class Model:
     frequency: np.ndarray
     median: np.ndarray
     least: np.ndarray
+    #: n-grams up to which a text's distance counts as more certain.
+    typical: float
 
     def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's best language, its calibrated probability (0 without letters), and whether it is rejected."""
@@ -104,7 +107,7 @@ class Model:
             at, n = _gram_counts(texts[i])
             p = _softmax(self.table[:, at].astype(np.float64) @ n / n.sum() / self.temperature)
             best[i], sure[i] = p.argmax(), p.max()
-            far[i] = (self.frequency[best[i], at].astype(np.float64) @ n / n.sum() - self.median[best[i]]) * np.sqrt(n.sum())
+            far[i] = (self.frequency[best[i], at].astype(np.float64) @ n / n.sum() - self.median[best[i]]) * np.sqrt(min(n.sum(), self.typical))
         sure = np.round(sure, 6)
         return best, sure, (sure < self.threshold) | (sure == 0) | (far < self.least[best])
 
@@ -135,7 +138,7 @@ class Model:
         for has, at, cuts, _ in met:
             of = np.repeat(language * BUCKETS, lengths)[: len(at)]
             logs[has] += np.add.reduceat(self.frequency.reshape(-1)[of + at].astype(np.float64), cuts)[::2]
-        far[mine] = (logs[some] / n_grams[some] - self.median[language[some]]) * np.sqrt(n_grams[some])
+        far[mine] = (logs[some] / n_grams[some] - self.median[language[some]]) * np.sqrt(np.minimum(n_grams[some], self.typical))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -147,7 +150,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     """A model from (language, buckets, counts) of each labelled text."""
     langs = sorted({r[0] for r in rows})
     if not rows:
-        return Model([], np.zeros((0, BUCKETS), np.float32), 1.0, 0.0, np.zeros((0, BUCKETS), np.float32), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros((0, BUCKETS), np.float32), 1.0, 0.0, np.zeros((0, BUCKETS), np.float32), np.zeros(0), np.zeros(0), 0.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     n_held = len(rows) // 5
@@ -178,12 +181,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     loss = [-np.log(_softmax(score / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(score / temperature)
-    frequency, median, least = _typical(rows, label, learn, held if n_held else learn, p.argmax(axis=1), len(langs))
-    return Model(langs, table, temperature, float(min(0.5, np.quantile(p.max(axis=1), REJECT_SHARE))), frequency, median, least)
+    frequency, median, least, typical = _typical(rows, label, learn, held if n_held else learn, p.argmax(axis=1), len(langs))
+    return Model(langs, table, temperature, float(min(0.5, np.quantile(p.max(axis=1), REJECT_SHARE))), frequency, median, least, typical)
 
 
-def _typical(rows: list[tuple[str, np.ndarray, np.ndarray]], label: np.ndarray, learn: np.ndarray, held: np.ndarray, predicted: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-frequencies by language, and from held documents the median and the least distance of documents that are kept."""
+def _typical(rows: list[tuple[str, np.ndarray, np.ndarray]], label: np.ndarray, learn: np.ndarray, held: np.ndarray, predicted: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Log-frequencies by language, and from held documents medians, the least distances that are kept, and the typical length."""
     counts = np.zeros((n_langs, BUCKETS))
     for i in learn.tolist():
         counts[label[i], rows[i][1]] += rows[i][2]
@@ -192,14 +195,15 @@ def _typical(rows: list[tuple[str, np.ndarray, np.ndarray]], label: np.ndarray,
     mean = np.array([frequency[k, rows[i][1]].astype(np.float64) @ rows[i][2] for i, k in zip(held.tolist(), predicted.tolist(), strict=True)]) / n
     middle = lambda own: np.median(mean[own]) if own.any() else 0.0
     median = np.array([middle(predicted == k) for k in range(n_langs)])
-    far = (mean - median[predicted]) * np.sqrt(n)
+    typical = float(np.median(n))
+    far = (mean - median[predicted]) * np.sqrt(np.minimum(n, typical))
     least = np.full(n_langs, -np.inf)
     for k in range(n_langs):
         own = far[predicted == k] if (predicted == k).sum() >= 20 else far  # too few to tell: by all languages
         if len(own) >= 20:
             q1, q2 = np.quantile(own, [0.25, 0.5])
             least[k] = q2 - REJECT_WIDTH * max(q2 - q1, 0.5)
-    return frequency, median, least
+    return frequency, median, least, typical
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:

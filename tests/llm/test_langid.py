@@ -52,7 +52,7 @@ def naive(model, text):
     scores = [sum(float(row[g]) for g in grams) / len(grams) / model.temperature for row in model.table]
     total = sum(math.exp(x - max(scores)) for x in scores)
     best = max(range(len(scores)), key=lambda k: scores[k])
-    far = (sum(float(model.frequency[best, g]) for g in grams) / len(grams) - model.median[best]) * math.sqrt(len(grams))
+    far = (sum(float(model.frequency[best, g]) for g in grams) / len(grams) - model.median[best]) * math.sqrt(min(len(grams), model.typical))
     return best, 1 / total, far
 
 
