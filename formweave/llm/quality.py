@@ -11,8 +11,9 @@ of one and two characters, at most as many as there are pairs of characters.
 
 A document's log-perplexity is taken per word: the text's negative log-probability over its words. Bands: per language
 (column ``lang``, null being one of its own), over documents that pass the base rules. A mean over n words varies by
-about 1/sqrt(n), so a document's distance from the median is taken times the square root of its words; with the
-quartiles of these distances, documents below ``q2 - WIDTH * (q2 - q1)`` or above ``q2 + WIDTH * (q3 - q2)`` are rejected.
+about 1/sqrt(n), so a document's distance from the median is taken times the square root of its words, counted up to
+the language's ``LONG`` quantile (longer documents differ by their subject however long they are); with the quartiles
+of these distances, documents below ``q2 - WIDTH * (q2 - q1)`` or above ``q2 + WIDTH * (q3 - q2)`` are rejected.
 For languages whose documents are all but alike, each side is at least ``LEAST_WIDTH``, in nats at one word.
 
 Defined results: a null text has no words and fails the base rules; repeated rows are judged alike; null ``doc_id``
@@ -39,7 +40,7 @@ from formweave.llm.shared import checkpointed, others, slices, with_small
 
 ORDER = 5
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-WIDTH, LEAST_WIDTH = 5.0, 5.0
+WIDTH, LEAST_WIDTH, LONG = 5.0, 5.0, 0.9
 #: Characters that are worked on at once, different n-grams that a task holds, and entries of a block of the model.
 SLICE, HELD, BLOCK_ENTRIES = 1 << 20, 1 << 20, 1 << 22
 #: Fixed value: characters that count as symbols.
@@ -383,17 +384,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def _distance() -> Column:
     """The distance from the median log-perplexity ``__mid``, in nats at one word."""
-    return (F.col("log_perplexity") - F.col("__mid")) * F.sqrt(F.col("n_words").cast("double"))
+    return (F.col("log_perplexity") - F.col("__mid")) * F.sqrt(F.least("n_words", "__most").cast("double"))
 
 
 def bands(scored: DataFrame, lang: str = "lang") -> DataFrame:
-    """``__of, __mid, __low, __high``: a language's median log-perplexity, and the distances from it between which its documents are kept."""
+    """``__of, __mid, __most, __low, __high``: a language's median, its cap of words, and the distances between which documents are kept."""
     good = scored.where(~F.col("base_failed"))
-    mids = checkpointed(good.groupBy(F.col(lang).alias("__of")).agg(F.percentile_approx("log_perplexity", 0.5, 5000).alias("__mid")))
+    mids = checkpointed(good.groupBy(F.col(lang).alias("__of")).agg(F.percentile_approx("log_perplexity", 0.5, 5000).alias("__mid"), F.percentile_approx("n_words", LONG, 5000).alias("__most")))
     q = F.percentile_approx(_distance(), [0.25, 0.5, 0.75], 5000)
-    rows = with_small(good, mids, lang, "__of").groupBy("__of", "__mid").agg(q.alias("q"))
+    rows = with_small(good, mids, lang, "__of").groupBy("__of", "__mid", "__most").agg(q.alias("q"))
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
-    return rows.select("__of", "__mid", (q2 - F.greatest(WIDTH * (q2 - q1), F.lit(LEAST_WIDTH))).alias("__low"), (q2 + F.greatest(WIDTH * (q3 - q2), F.lit(LEAST_WIDTH))).alias("__high"))
+    return rows.select("__of", "__mid", "__most", (q2 - F.greatest(WIDTH * (q2 - q1), F.lit(LEAST_WIDTH))).alias("__low"), (q2 + F.greatest(WIDTH * (q3 - q2), F.lit(LEAST_WIDTH))).alias("__high"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", block_entries: int = BLOCK_ENTRIES) -> DataFrame:
@@ -401,4 +402,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", block_entries
     scored = checkpointed(score(docs, train(docs, text, block_entries), text))
     rows = with_small(scored, checkpointed(bands(scored.select(F.col(lang), "base_failed", "log_perplexity", "n_words"), lang)), lang, "__of")
     kept = ~F.col("base_failed") & F.coalesce(_distance().between(F.col("__low"), F.col("__high")), F.lit(False))
-    return rows.withColumn("kept", kept).drop("__of", "__mid", "__low", "__high")
+    return rows.withColumn("kept", kept).drop("__of", "__mid", "__most", "__low", "__high")

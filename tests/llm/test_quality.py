@@ -97,7 +97,8 @@ def test_bands_against_brute_force(spark, docs):
         own = [r for r in rows if r["lang"] == lang]
         good = [r for r in own if not r["base_failed"]]
         mid = lower([r["log_perplexity"] for r in good], 0.5)
-        far = lambda r: (r["log_perplexity"] - mid) * math.sqrt(r["n_words"])  # noqa: E731, B023
+        most = lower([r["n_words"] for r in good], quality.LONG)
+        far = lambda r: (r["log_perplexity"] - mid) * math.sqrt(min(r["n_words"], most))  # noqa: E731, B023
         q1, q2, q3 = (lower([far(r) for r in good], q) for q in (0.25, 0.5, 0.75))
         low, high = q2 - max(quality.WIDTH * (q2 - q1), quality.LEAST_WIDTH), q2 + max(quality.WIDTH * (q3 - q2), quality.LEAST_WIDTH)
         assert all(r["kept"] == (not r["base_failed"] and low <= far(r) <= high) for r in own)
