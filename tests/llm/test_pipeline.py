@@ -57,7 +57,7 @@ def test_a_broken_subpackage_is_an_error(tmp_path):
     run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert run().stdout.split() == ["True"]
     broken = tmp_path / "formweave/llm/queries.py"
-    broken.write_text("import a_library_that_is_not_there\n" + broken.read_text())
+    broken.write_text(broken.read_text().replace("from pyspark.sql import DataFrame", "import a_library_that_is_not_there\nfrom pyspark.sql import DataFrame", 1))
     assert "a_library_that_is_not_there" in run().stderr
     shutil.rmtree(tmp_path / "formweave/llm")
     assert run().stdout.split() == ["False"]
