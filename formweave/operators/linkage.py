@@ -8,9 +8,9 @@ Where ``targets`` carries ``request_id``, so must all other tables: every docume
 the targets and synonyms of that request only, and all results carry ``request_id``. A document that two requests ask
 for is linked for each of them.
 
-A label is scored once for each different synonym, and pairs meet the scores by an equi-join on the label. Pairs,
-scores, proposals and documents then meet in one shuffle by document; a document's row holds all that follows from
-it, and fields and leftovers are read off the same row.
+A label is scored once for each different synonym, and pairs meet the scores by an equi-join on the label; ``pairs`` is
+read twice for this, so that a costly one should be staged. Pairs, scores, proposals and documents then meet in one
+shuffle by document; a document's row holds all that follows from it, and fields and leftovers are read off that row.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from formweave.functions import fuzzy, text
 from formweave.operators import consensus, extraction, geometry, linkage, routing, scoring, validation
 from formweave.sources import tables
-from formweave.sources.stage import shared_folder
+from formweave.sources.stage import shared_folder, staged
 
 #: The fields asked for, with their synonyms.
 TARGETS = {"STATUS": ["Status", "Statut", "État"], "PRIORITY": ["Priority", "Priorité"], "SEGMENT": ["Segment", "Market"], "NATION": ["Nation", "Country"], "ZONE": ["Zone"]}
@@ -59,23 +59,23 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: each form's fields, linked and validated."""
-    fields, _ = linkage.classify(forms(spark, sf_dir), *_targets(spark))
+    fields, _ = linkage.classify(staged(forms(spark, sf_dir)), *_targets(spark))
     return validation.validate(fields, _codes(spark, sf_dir)).select("doc_id", "target_idx", "name", "label", "value", "score", "synonym", "status", "code", "code_score")
 
 
 def link_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.classify(forms(spark, sf_dir), *_targets(spark))[1].select("doc_id", "pair_idx", "label", "value")
+    return linkage.classify(staged(forms(spark, sf_dir)), *_targets(spark))[1].select("doc_id", "pair_idx", "label", "value")
 
 
 def linkage_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, synonyms = _targets(spark)
-    fields, left = linkage.classify(forms(spark, sf_dir), targets, synonyms)
+    fields, left = linkage.classify(staged(forms(spark, sf_dir)), targets, synonyms)
     return linkage.linkage_misses(fields, left, synonyms).agg(F.count("*").alias("n_misses"))
 
 
 def link_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals drawn from the forms: right ones, ones for the wrong field, and invented values."""
-    pairs = forms(spark, sf_dir)
+    pairs = staged(forms(spark, sf_dir))
     names = F.array(*map(F.lit, TARGETS))
     wrong = (F.col("pair_idx") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)) % len(TARGETS)
     value = F.when((F.col("doc_id") % 4 == 0) & (F.col("pair_idx") == 1), "invented").otherwise(F.upper("value"))

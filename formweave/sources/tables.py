@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -257,6 +257,25 @@ def readable_text(text: Column, least: int = 200) -> Column:
     return F.when(F.length(strip(text)) >= least, text).otherwise("")
 
 
+def text_layers(files: DataFrame, extract: Callable[[bytes], str | None], least: int = 200) -> DataFrame:
+    """``path, text`` of whole files (path, content): what ``extract`` finds in a file, if it is long enough, else empty.
+
+    ``extract`` brings the format's library with it; a file that it cannot read has no text.
+    """
+
+    def found(content: bytes | None) -> str:
+        try:
+            return extract(bytes(content or b"")) or ""
+        except Exception:  # noqa: BLE001  whatever the library raises, the other ways of reading remain
+            return ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found(v.as_py()) for v in batch.column(1)], pa.string())], names=["path", "text"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string").select("path", readable_text(F.col("text"), least).alias("text"))
+
+
 def response_rows(fields: DataFrame, left: DataFrame, analyses: DataFrame | None = None, duration_ms: Column | None = None) -> DataFrame:
     """``doc_id, response`` (and request_id): one JSON answer per document; members without a value are null.
 

@@ -98,6 +98,16 @@ def test_bodies_and_images(spark):
     assert place["required"] == ["cartoucheFound", "box", "corner", "rotation"] and place["properties"]["box"]["required"] == ["left", "top", "right", "bottom"]
 
 
+def test_text_layers(spark):
+    def extract(content):
+        if content.startswith(b"!"):
+            raise RuntimeError("no such format")
+        return content.decode() if content else None
+
+    files = spark.createDataFrame([("a", b"x" * 250), ("b", b"!" * 300), ("c", b" " * 300 + b"y"), ("d", None), ("e", b"")], "path string, content binary")
+    assert {r.path: len(r.text) for r in tables.text_layers(files, extract).collect()} == {"a": 250, "b": 0, "c": 0, "d": 0, "e": 0}
+
+
 def test_token_usage(spark):
     df = spark.createDataFrame([('{"usage":{"prompt_tokens":3,"completion_tokens_details":{"reasoning_tokens":2}}}',), ("{}",), (None,)], "r string")
     assert [r.u and tuple(r.u) for r in df.select(tables.token_usage(F.col("r")).alias("u")).collect()] == [(3, -1, 2), None, None]
