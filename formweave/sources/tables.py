@@ -116,7 +116,7 @@ def registry_of(synonyms: DataFrame, with_hypotheses: bool = False) -> DataFrame
 
 def registry_lookup(names: DataFrame, registry: DataFrame) -> DataFrame:
     """``names`` (name) with the ``synonyms`` of the field that has exactly that name, null where there is none."""
-    return names.join(F.broadcast(registry.select(F.col("field").alias("name"), "synonyms")), "name", "left")
+    return names.join(registry.select(F.col("field").alias("name"), "synonyms"), "name", "left")
 
 
 def uploads(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def test_whole_texts_against_brute_force(spark, tmp_path):
     long = "Étage  premier\r\n" * 300 + "Ünï\tcödé — 12 :\n"
     texts = [None, "", " \n\t ", "Zone : ", long, "x" * 70 + " É\x0b\x0cà  Ñ:", "word " * 5000 + "ÀÉ:: "]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {r.doc_id: r for r in forms.text_functions_whole(spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: r for r in forms.text_functions(spark, str(tmp_path)).collect()}
     blanks = " \t\n\x0b\x0c\r"
     squeezed = lambda s, keep: " ".join("".join(c if keep(c) else " " for c in s).split(" ")).split()
     assert len(rows) == len(texts)
@@ -96,3 +96,6 @@ def test_whole_texts_against_brute_force(spark, tmp_path):
         simple = " ".join(squeezed(folded, lambda c: c in "abcdefghijklmnopqrstuvwxyz0123456789"))
         words = len(squeezed(t or "", lambda c: c not in blanks))
         assert (rows[i].folded, rows[i].label_form, rows[i].simple_form, rows[i].n_words, rows[i].value_form) == (folded, label, simple, words, f"{i}"), i
+        part = t if t is None or i % 2 == 0 else t[:400]
+        assert rows[i].cut == (part if part is None or len(part) <= 500 else part[:500] + "…")
+        assert rows[i].readable == (t if len((t or "").strip(blanks)) >= 200 else "") and rows[i].retryable == (500 + i % 6 in (502, 503, 504))

@@ -59,8 +59,30 @@ def test_ink_and_turns(spark):
 
 
 def test_routing(spark):
-    pages = spark.createDataFrame([(1, True, 0, None, False, None), (2, True, 0, "top-left", True, None), (3, True, 0, None, False, None), (4, False, 300, None, False, None), (5, False, 10, None, False, None), (6, True, 0, None, False, "top-left")], "doc_id long, large boolean, text_chars int, zone string, box_usable boolean, forced string")
-    readings = [(1, "corner:bottom-right", 3, -5, True, False), (1, "corner:bottom-left", 5, 9, True, False), (2, "boxed", 2, 0, False, False), (2, "corner:top-left", 0, 0, False, False), (3, "corner:top-left", 0, 0, False, False), (4, "text", 9, 1, True, True), (5, "full", 1, 0, False, False), (6, "corner:top-left", 3, 0, True, False)]
+    box = (0.1, 0.1, 0.2, 0.2)
+    pages = spark.createDataFrame([(1, True, 0, None, None, None), (2, True, 0, "top-left", box, None), (3, True, 0, None, None, None), (4, False, 300, None, None, None), (5, False, 10, None, None, None), (6, True, 0, None, None, "top-left"), (7, True, 0, "unknown", box, None), (8, True, 0, " Top-Right ", None, None)], "doc_id long, large boolean, text_chars int, zone string, region struct<x:double,y:double,w:double,h:double>, forced string")
+    readings = [
+        (1, "corner:bottom-right", 3, -5, True, False), (1, "corner:bottom-left", 5, 9, True, False), (2, "boxed", 2, 0, False, False), (2, "corner:top-left", 0, 0, False, False), (3, "corner:top-left", 0, 0, False, False),
+        (4, "text", 9, 1, True, True), (5, "full", 1, 0, False, False), (6, "corner:top-left", 3, 0, True, False),
+        (7, "boxed", 0, 0, False, True), (7, "corner:top-left", 5, 0, False, False),  # empty, but with proposals: it speaks of what is asked
+        (8, "corner:top-right", 4, 2, True, False), (8, "corner:bottom-right", 4, 2, True, False),  # equals: the located corner comes first
+    ]
     df = spark.createDataFrame(readings, "doc_id long, stage string, n_pairs int, score int, passes boolean, mentions boolean")
     found = {r.doc_id: (r["mode"], r.corner, r.quality_passed, r.attempts) for r in routing.route(pages, df).collect()}
-    assert found == {1: ("TWO_PASS_CROP", "bottom-left", True, 4), 2: ("TWO_PASS_CROP", "top-left", False, 1), 3: ("NEEDS_TILING", "unknown", False, 0), 4: ("TEXT_LAYER", None, True, 1), 5: ("SINGLE_PAGE", None, True, 1), 6: ("TWO_PASS_CROP", "top-left", True, 1)}
+    crop = "TWO_PASS_CROP"
+    assert found == {1: (crop, "bottom-left", True, 4), 2: (crop, "top-left", False, 1), 3: ("NEEDS_TILING", "unknown", False, 0), 4: ("TEXT_LAYER", None, True, 1), 5: ("SINGLE_PAGE", None, True, 1), 6: (crop, "top-left", True, 1), 7: (crop, "top-left", False, 1), 8: (crop, "top-right", True, 4)}
+    unseen = pages.withColumn("found", F.lit(False))
+    assert routing.route(unseen, df).where("doc_id = 8").first().corner == "bottom-right"
+    off = {r.doc_id: (r["mode"], r.corner) for r in routing.route(pages, df, text_layer=False, locate=False, forced=False).collect()}
+    assert off[4] == ("SINGLE_PAGE", None) and off[6] == (crop, "top-left") and off[7] == (crop, "top-left") and off[8] == (crop, "bottom-right") and off[2] == ("NEEDS_TILING", "unknown")
+
+
+def test_mentions_by_request(spark):
+    docs = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2)], "request_id string, doc_id long")
+    pairs = spark.createDataFrame([(r, 1, "Phase") for r in "abc"] + [("d", 2, "x")], "request_id string, doc_id long, label string")
+    labels = spark.createDataFrame([("a", "phase"), ("b", "lot"), ("c", None), ("d", "x y")], "request_id string, label string")
+    hints = scoring.mentions(docs.unionByName(spark.createDataFrame([("e", 9)], docs.schema)), pairs, labels)
+    assert {r.request_id: r.mentions for r in hints.collect()} == {"a": True, "b": False, "c": False, "d": True, "e": True}
+    assert "CartesianProduct" not in hints._jdf.queryExecution().executedPlan().toString()
+    said = scoring.mentions(docs, pairs, labels, spark.createDataFrame([("b", 1)], "request_id string, doc_id long"))
+    assert {r.request_id: r.mentions for r in said.collect()} == {"a": True, "b": True, "c": False, "d": True}
