@@ -4,7 +4,7 @@ The model is over characters as they stand (case, digits and marks are kept), of
 document that passes the base rules is counted: tasks count theirs, Spark sums the counts, and Spark joins turn them into
 interpolated probabilities and back-off weights (discounts D1, D2, D3+ per order; lower orders from continuation
 counts). No n-gram is left out, so the model grows with the corpus. It is stored as sorted arrays of hashes with their
-values, in blocks of about ``BLOCK_ENTRIES`` entries; a position of a text looks into one block only, that of the two
+values, in blocks of ``BLOCK_ENTRIES`` entries at most on average; a position of a text looks into one block only, that of the two
 characters before it, so that a block is all that a worker holds. With one block, documents are scored in one pass;
 with more, each block gives partial sums by the hash of the text, and Spark adds them up. All blocks share the entries
 of one and two characters, at most as many as there are pairs of characters.
@@ -42,7 +42,7 @@ ORDER = 5
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 WIDTH, LEAST_WIDTH, LONG = 5.0, 5.0, 0.9
 #: Characters that are worked on at once, different n-grams that a task holds, and entries of a block of the model.
-SLICE, HELD, BLOCK_ENTRIES = 1 << 20, 1 << 20, 1 << 22
+SLICE, HELD, BLOCK_ENTRIES = 1 << 20, 1 << 20, 1 << 23
 #: Fixed value: characters that count as symbols.
 MARKS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -211,19 +211,20 @@ def _cut(discounts: list[float]) -> Column:
     return F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
 
 
-def _discounts(levels: dict[int, DataFrame]) -> dict[int, list[float]]:
-    """Per order: D1, D2 and D3+ from the numbers of n-grams counted once to four times."""
-    counts = [df.agg(F.lit(k).alias("k"), *(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))) for k, df in levels.items()]
-    out = {}
-    for k, n1, n2, n3, n4 in reduce(DataFrame.unionAll, counts).collect():
+def _discounts(levels: dict[int, DataFrame]) -> tuple[dict[int, list[float]], dict[int, int]]:
+    """Per order: D1, D2 and D3+ from the numbers of n-grams counted once to four times, and the number of n-grams."""
+    counts = [df.agg(F.lit(k).alias("k"), F.count("*"), *(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))) for k, df in levels.items()]
+    out, sizes = {}, {}
+    for k, size, n1, n2, n3, n4 in reduce(DataFrame.unionAll, counts).collect():
+        sizes[k] = size
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         raw = 1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)
         out[k] = [max(0.05, min(d, i * 0.95)) for i, d in enumerate(raw, 1)]
-    return out
+    return out, sizes
 
 
-def entries(counts: DataFrame) -> tuple[DataFrame, float]:
-    """``kind, chars, value`` of a model, and the log-probability of a character that was never seen.
+def entries(counts: DataFrame) -> tuple[DataFrame, float, int]:
+    """``kind, chars, value`` of a model, the log-probability of a character that was never seen, and at most how many entries.
 
     Entries are the log-probabilities of n-grams of each order and the log-weights of their contexts. Tables of the
     lower orders come from the next higher one; contexts and shorter n-grams are met by equi-joins.
@@ -231,7 +232,7 @@ def entries(counts: DataFrame) -> tuple[DataFrame, float]:
     levels = {ORDER: checkpointed(counts)}
     for k in range(ORDER - 1, 0, -1):  # in how many different ways an n-gram is continued to the left
         levels[k] = checkpointed(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
-    discounts = _discounts(levels)
+    discounts, sizes = _discounts(levels)
     cut = _cut(discounts[1])
     total, saved, n_chars = levels[1].agg(F.sum("n"), F.sum(cut), F.count("*")).first()
     unseen = (saved / total if total else 1.0) / ((n_chars or 0) + 1)
@@ -240,13 +241,14 @@ def entries(counts: DataFrame) -> tuple[DataFrame, float]:
     for k in range(2, ORDER + 1):
         cut = _cut(discounts[k])
         context = F.substring("gram", 1, k - 1)
-        weights = checkpointed(levels[k].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight")))
+        weights = levels[k].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight"))
         rows = levels[k].select("gram", "n", context.alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
         rows = rows.join(weights, "context").join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
         below = checkpointed(rows.select("gram", ((F.col("n") - cut) / F.col("total") + F.col("weight") * F.col("below")).alias("p")))
         out.append(below.select(F.lit(_PROBABILITY).alias("kind"), F.col("gram").alias("chars"), F.log("p").alias("value")))
         out.append(weights.select(F.lit(_WEIGHT).alias("kind"), F.col("context").alias("chars"), F.log("weight").alias("value")))
-    return reduce(DataFrame.unionByName, out), math.log(unseen)
+    most = sum(sizes.values()) + sum(sizes[k] for k in range(2, ORDER + 1))  # a context has an n-gram at least
+    return reduce(DataFrame.unionByName, out), math.log(unseen), most
 
 
 @dataclass
@@ -311,9 +313,8 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", block_entries: int = BLOCK_ENTRIES) -> Model:
-    found, unseen = entries(count_ngrams(docs, text))
-    found = checkpointed(found)
-    n_blocks = max(1, -(-found.count() // block_entries))
+    found, unseen, most = entries(count_ngrams(docs, text))
+    n_blocks = max(1, -(-most // block_entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
