@@ -42,7 +42,7 @@ ORDER = 5
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 WIDTH, LEAST_WIDTH, LONG = 5.0, 5.0, 0.9
 #: Characters that are worked on at once, different n-grams that a task holds, and entries of a block of the model.
-SLICE, HELD, BLOCK_ENTRIES = 1 << 20, 1 << 20, 1 << 22
+SLICE, HELD, BLOCK_ENTRIES = 1 << 19, 1 << 19, 1 << 22
 #: Fixed value: characters that count as symbols.
 MARKS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
