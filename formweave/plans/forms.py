@@ -68,9 +68,15 @@ def link_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linkage_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misses by the threshold of linking: none where it is the one they are judged by, some where only equal labels link."""
     targets, synonyms = _targets(spark)
-    fields, left = linkage.classify(staged(forms(spark, sf_dir)), targets, synonyms)
-    return linkage.linkage_misses(fields, left, synonyms).agg(F.count("*").alias("n_misses"))
+    pairs = staged(forms(spark, sf_dir))
+
+    def counted(least: int) -> DataFrame:
+        fields, left = linkage.classify(pairs, targets, synonyms, least)
+        return linkage.linkage_misses(fields, left, synonyms).agg(F.lit(least).alias("least"), F.count("*").alias("n_misses"))
+
+    return counted(linkage.LABEL_THRESHOLD).unionByName(counted(100))
 
 
 def link_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:

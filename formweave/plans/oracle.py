@@ -316,6 +316,12 @@ SELECT l_orderkey, l_linenumber, floor(x * 1000000 + 0.5::DOUBLE)::BIGINT AS box
 FROM f"""
 
 
+def _misses(least: int) -> str:
+    return f"""
+WITH RECURSIVE {_LINK.replace("WHERE score >= 80", f"WHERE score >= {least}")}
+SELECT count(*) FROM (SELECT DISTINCT doc_id, target_idx FROM (SELECT * FROM pairs ANTI JOIN chosen USING (doc_id, pair_idx)) x JOIN best USING (label) WHERE score >= 80) y ANTI JOIN chosen USING (doc_id, target_idx)"""
+
+
 def oracle_sql() -> dict[str, str]:
     registry = ", ".join("[" + ", ".join(f"'{s}'" for s in TARGETS[n]) + "]" for n in TARGETS)
     enrich_steps = "".join(
@@ -338,8 +344,7 @@ FROM (SELECT DISTINCT doc_id FROM pairs) d CROSS JOIN targets t LEFT JOIN chosen
 LEFT JOIN hit ON hit.name = t.name AND hit.value = c.value""",
         "link_leftovers": f"WITH RECURSIVE {_LINK}\nSELECT doc_id, pair_idx::INT AS pair_idx, label, value FROM pairs ANTI JOIN chosen USING (doc_id, pair_idx)",
         "linkage_misses": f"""
-WITH RECURSIVE {_LINK}
-SELECT count(*) AS n_misses FROM (SELECT DISTINCT doc_id, target_idx FROM cand ANTI JOIN chosen USING (doc_id, pair_idx)) x ANTI JOIN chosen USING (doc_id, target_idx)""",
+SELECT 80 AS least, ({_misses(80)}) AS n_misses UNION ALL SELECT 100, ({_misses(100)})""",
         "link_proposals": f"""
 WITH RECURSIVE {_PROPOSED},
 taken AS (SELECT doc_id, target_idx, pair_idx, score FROM done UNION ALL SELECT doc_id, target_idx, pair_idx, score FROM chosen)
