@@ -137,7 +137,7 @@ def link(pairs: DataFrame, targets: DataFrame, synonyms: DataFrame, docs: DataFr
         rows = rows.unionByName(proposals.select(*scope, "doc_id", none(_PAIR).alias("pair"), proposal.alias("proposal")))
     if docs is not None:
         rows = rows.unionByName(docs.select(*scope, "doc_id", none(_PAIR).alias("pair"), none(_PROPOSAL).alias("proposal")))
-    grouped = rows.groupBy(*scope, "doc_id").agg(F.array_sort(F.collect_list("pair"), _by("pair_idx")).alias("pairs"), F.array_sort(F.collect_list("proposal"), _by("asg_idx")).alias("proposals"))
+    grouped = rows.groupBy(*scope, "doc_id").agg(F.array_sort(F.collect_list("pair")).alias("pairs"), F.array_sort(F.collect_list("proposal")).alias("proposals"))
     if docs is not None and proposals is not None:  # a proposal for a document that is not asked for makes no row
         grouped = grouped.join(docs.select(*scope, "doc_id").distinct(), [*scope, "doc_id"], "left_semi")
     asked = targets.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col("target_idx").cast("int").alias("target_idx"), "name"))).alias("targets"))
@@ -166,10 +166,6 @@ def link(pairs: DataFrame, targets: DataFrame, synonyms: DataFrame, docs: DataFr
     return Links(staged(rows.select(*scope, "doc_id", bare.alias("pairs"), "chosen", "targets")), scope, by_name)
 
 
-def _by(name: str):
-    return lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
-
-
 def classify(pairs: DataFrame, targets: DataFrame, synonyms: DataFrame, least: int = LABEL_THRESHOLD, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Fields and leftover pairs. A repeated name is a target of its own."""
     links = link(pairs, targets, synonyms, docs, least=least)

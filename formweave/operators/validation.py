@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formweave.functions.fuzzy import cannot_reach, ratio
 from formweave.functions.text import is_blank, normalize_label, normalize_value
 from formweave.operators.linkage import AUTO_VALIDATED, TO_REVIEW
-from formweave.sources.stage import sized
+from formweave.sources.stage import sized, staged
 
 CODE_THRESHOLD = 85
 
@@ -19,19 +19,21 @@ def validate(fields: DataFrame, codes: DataFrame, least: int = CODE_THRESHOLD) -
     ``codes`` has field, ord, code and libelle, and ``request_id`` or ``project`` where tables belong to one: a value
     is then looked up in the tables of its own request or project only, and ``fields`` must carry that column. Only a
     field under review with a value is looked up; a value without a code near enough is kept as it is. Different
-    values are scored once; ``fields`` is read twice.
+    values are normalized and scored once; ``fields`` is read twice.
     """
     scope = [c for c in ("request_id", "project") if c in codes.columns]
     missing = [c for c in scope if c not in fields.columns]
     if missing:
         raise ValueError(f"codes are kept by {missing}, which the fields do not carry")
-    plain = fields.withColumn("__v", F.when((F.col("status") == TO_REVIEW) & ~is_blank(F.col("value")), normalize_value(F.col("value"))))
-    values = plain.where("__v is not null").select(*scope, "name", "__v").distinct()
+    keys = [*scope, "name"]
+    asked = fields.where((F.col("status") == TO_REVIEW) & ~is_blank(F.col("value"))).select(*keys, "value").distinct().withColumn("__v", normalize_value(F.col("value")))
     table = sized(codes.where(~is_blank(F.col("code"))).select(*scope, F.col("field").alias("name"), "ord", "code", "libelle", normalize_value(F.col("code")).alias("__c")))
-    met = values.join(table, [*scope, "name"]).where(~cannot_reach(F.col("__v"), F.col("__c"), least))
+    asked = staged(asked.join(table.select(*keys).distinct(), keys, "left_semi"))  # the values that have a table
+    met = asked.select(*keys, "__v").distinct().join(table, keys).where(~cannot_reach(F.col("__v"), F.col("__c"), least))
     scored = met.withColumn("s", ratio(F.col("__v"), F.col("__c"))).where(F.col("s") >= least)
-    best = scored.groupBy(*scope, "name", "__v").agg(F.max_by(F.struct("code", "libelle", "s"), F.struct("s", -F.col("ord"))).alias("__b"))
-    rows = plain.join(sized(best), [*scope, "name", "__v"], "left")
+    best = scored.groupBy(*keys, "__v").agg(F.max_by(F.struct("code", "libelle", "s"), F.struct("s", -F.col("ord"))).alias("__b"))
+    hits = asked.join(best, [*keys, "__v"]).select(*keys, "value", "__b")
+    rows = fields.join(sized(hits), [*keys, "value"], "left").withColumn("__b", F.when(F.col("status") == TO_REVIEW, F.col("__b")))
     status = F.when(F.col("__b").isNotNull(), AUTO_VALIDATED).otherwise(F.col("status"))
     kept = [c for c in fields.columns if c != "status"]
     return rows.select(*kept, status.alias("status"), F.col("__b.code").alias("code"), F.col("__b.libelle").alias("code_label"), F.col("__b.s").alias("code_score"))
